@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[str, list[Column]]] = {
     "runs_v": ("events", [
         "event_id as id", "user_id as run_id", "event_type as agent",
         "case when event_type = 'error' then 'error' else 'success' end as status",
-        "cast(value * 10 as bigint) as duration_ms", "ts as created_at",
+        "cast(floor(value * 10) as bigint) as duration_ms", "ts as created_at",
     ]),
 }
 

@@ -136,7 +136,7 @@ def first_match(spark, folder):
     with o as (select o_custkey, o_orderkey, o_orderdate,
                  row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as position from orders),
     e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as position from events)
-    select o_custkey as channel_id, o_orderkey, event_id, cast(o.position as integer) as position
+    select o_custkey as channel_id, o_orderkey, event_id, o.position
     from o join e on e.user_id = o.o_custkey and e.position = o.position
 """)
 def position_zip(spark, folder):

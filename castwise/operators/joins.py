@@ -7,9 +7,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from castwise.operators.ranking import top_per_group
+from castwise.operators.sequences import positions
 
 
 def lookup(table: Mapping[str, Any], key: Column, default: Any) -> Column:
@@ -61,6 +61,5 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order: Seque
 
 def zip_by_position(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:
     """Pair the n-th row of ``left`` with the n-th row of ``right`` inside every group."""
-    l = left.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))
-    r = right.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*right_order)))
-    return l.join(r, [*keys, "position"])
+    on = [*keys, "position"]
+    return positions(left, keys, left_order).join(positions(right, keys, right_order), on)

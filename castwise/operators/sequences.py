@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from castwise.session import staged
+
 
 def running_totals(df: DataFrame, keys: Sequence[str], index: str, measures: Mapping[str, Column], block: int = 65_536) -> DataFrame:
     """Inclusive running sums by ``index`` inside every group.
@@ -39,6 +41,26 @@ def running_totals(df: DataFrame, keys: Sequence[str], index: str, measures: Map
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Number the rows of every group from 1 in ``order`` (which must be total).
+
+    Rows are range-partitioned by group and order, numbered inside each piece, and
+    shifted by the sizes of the group's earlier pieces. One group may therefore span
+    any number of tasks. The pieces are written out, so a retry cannot cut differently.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__piece", F.spark_partition_id())
+    pieces = staged(ranged, "positions")
+    part = [*keys, "__piece"]
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = pieces.groupBy(*part).agg(F.count("*").alias("__n")).select(
+        *part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")
+    )
+    local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    return pieces.withColumn("__local", local).join(shifts, part).select(
+        *df.columns, (F.col("__local") + F.col("__shift")).alias(name)
+    )
+
+
 def largest_remainder(shares: Sequence[float], n: Column) -> Column:
     """Array of whole counts summing to ``n``: floors first, leftovers to the largest fractions.
 

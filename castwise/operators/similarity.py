@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from castwise.functions import text as X
@@ -31,9 +32,14 @@ def char_ratio(a: str, b: str, autojunk: bool = False) -> float:
     return SequenceMatcher(None, a, b, autojunk).ratio()
 
 
-@F.pandas_udf("double")
-def _char_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([char_ratio(x, y) for x, y in zip(a, b)])
+def _ratio_udf():
+    # defined here so that it travels to the executors by value
+    from difflib import SequenceMatcher
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(ratios, T.DoubleType())
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -106,7 +112,7 @@ def closest_short_text(
     possible = 2 * shared >= t * (F.length("a") + F.length("b")) - 1e-9
     found = (
         pairs.filter(possible)
-        .withColumn("ratio", _char_ratio_udf("a", "b"))
+        .withColumn("ratio", _ratio_udf()("a", "b"))
         .filter(F.col("ratio") >= t)
         .groupBy(F.col("a").alias("text")).agg(F.max("ratio").alias("ratio"))
     )

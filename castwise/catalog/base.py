@@ -102,6 +102,11 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = ()):
     return keep
 
 
+def half_up(x: str, digits: int) -> str:
+    """DuckDB text that rounds a double by its printed digits, as Spark's ``round`` does."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(30, 18)), {digits}) as double)"
+
+
 def joined(name: str, separator: str = "|"):
     """An array column as one text, so results compare as plain values."""
     return F.array_join(name, separator).alias(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from castwise import params as P
-from castwise.catalog.base import query, table, view
+from castwise.catalog.base import half_up, query, table, view
 from castwise.catalog.selections import SIGNALS, _hits, _strip
 from castwise.functions import clock, scores, text
 from castwise.plans import documentary, performance, quality, timeline
@@ -46,12 +46,12 @@ def text_profile(spark, folder):
     with w as (select doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as ws from documents)
     select doc_id,
       array_to_string(ws[1:8], ' ') || case when len(ws) > 8 then '…' else '' end as overlay,
-      upper(array_to_string(ws[1:6], ' ')) as headline,
+      replace(upper(array_to_string(ws[1:6], ' ')), 'ẞ', 'SS') as headline,
       case when length(text) <= 90 then text else regexp_replace(left(text, 89), '\s+$', '') || '…' end as fitted,
       coalesce(nullif(array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 4)[1:6], ', '), ''),
                'abstract concept') as hint,
       array_to_string(list_transform(regexp_extract_all(lower(array_to_string(ws[1:4], ' ')), '\p{L}+|\P{L}+'),
-        lambda r: upper(left(r, 1)) || substr(r, 2)), '') as titled
+        lambda r: replace(upper(left(r, 1)), 'ẞ', 'SS') || substr(r, 2)), '') as titled
     from w
 """)
 def short_labels(spark, folder):
@@ -141,7 +141,7 @@ def script_build(spark, folder):
 
 
 @query("banned_phrases", f"""
-    select doc_id, {_dropped("text || chr(10) || chr(10) || chr(10) || chr(10) || upper(text)")} as cleaned from documents
+    select doc_id, {_dropped("text || chr(10) || chr(10) || chr(10) || chr(10) || replace(upper(text), 'ẞ', 'SS')")} as cleaned from documents
 """)
 def banned_phrases(spark, folder):
     body = F.concat("text", F.lit("\n\n\n\n"), F.upper("text"))
@@ -220,11 +220,12 @@ _RETENTION = _STORY + rf""",
       select *, cast(doc_id % 36 + 65 as double) as hook,
         case when n_chars = 0 then null else round(greatest(1, len(regexp_extract_all(text, '\S+'))) / 155.0::double * 60.0::double, 2) end as secs,
         case doc_id % 4 when 0 then null else (doc_id % 40) / 4.0::double end as pace from st),
-    pr as (
-      select *, round(least(100.0::double, greatest(0.0::double, 0.45::double * hook + 0.25::double * story
+    ra as (
+      select *, least(100.0::double, greatest(0.0::double, 0.45::double * hook + 0.25::double * story
         + case when contains(source, '?') or contains(lower(source), 'src1') then 8 else 0 end
         + case when pace <= 5.5 then 6 when pace > 8 then -6 else 0 end
-        + case when secs is null or secs = 0 then 0 when secs between 45 and 75 then 6 else -6 end)), 1) as retention from rt)
+        + case when secs is null or secs = 0 then 0 when secs between 45 and 75 then 6 else -6 end)) as raw from rt),
+    pr as (select *, {half_up('raw', 1)} as retention from ra)
 """
 
 
@@ -346,7 +347,7 @@ def scene_plan(spark, folder):
 
 @query("plan_totals", _SCENES + """
     select run_id, count(*) as scenes, cast(sum(cast(duration as decimal(18, 2))) as double) as total_duration,
-           round(cast(sum(cast(duration as decimal(18, 2))) as double) / count(*), 2) as avg_duration from plan group by 1
+           """ + half_up("cast(sum(cast(duration as decimal(18, 2))) as double) / count(*)", 2) + """ as avg_duration from plan group by 1
 """)
 def plan_totals(spark, folder):
     return timeline.plan_totals(_scenes(spark, folder))

@@ -110,8 +110,13 @@ def storytelling(
     beat_part = found / F.lit(float(len(beats))) * 100
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
     lexicon = F.array(*[F.lit(w) for w in emotion_words])
-    hits = F.size(F.filter(tokens, lambda w: F.array_contains(lexicon, w)))
-    emotion_part = F.least(F.lit(100.0), hits / F.greatest(F.lit(1), F.size(tokens)) * 4000)
+    # folds, so that the token and clause lists are built once
+    emotion_part = F.aggregate(
+        tokens,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits")),
+        lambda acc, w: F.struct((acc["n"] + 1).alias("n"), (acc["hits"] + F.array_contains(lexicon, w).cast("int")).alias("hits")),
+        lambda acc: F.least(F.lit(100.0), acc["hits"] / F.greatest(F.lit(1), acc["n"]) * 4000),
+    )
     lengths = F.transform(X.clauses(text), lambda s: X.word_count(s).cast("double"))
     return F.when(
         X.present(text),
@@ -127,13 +132,20 @@ def storytelling(
 
 def _variety(lengths: Column) -> Column:
     """Spread of sentence lengths against their mean (population form); 40 for two sentences or fewer."""
-    n = F.size(lengths)
-    total = F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x)
-    squares = F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x * x)
-    mean = total / n
-    # n * sum(x^2) - sum(x)^2 is exact on whole numbers, so no digit is lost before the root
-    deviation = F.sqrt(n * squares - total * total) / n
-    return F.when(n > 2, F.least(F.lit(100.0), deviation / F.greatest(F.lit(1.0), mean) * 200)).otherwise(40.0)
+    def spread(acc: Column) -> Column:
+        n, total, squares = acc["n"], acc["total"], acc["squares"]
+        # n * sum(x^2) - sum(x)^2 is exact on whole numbers, so no digit is lost before the root
+        deviation = F.sqrt(n * squares - total * total) / n
+        return F.when(n > 2, F.least(F.lit(100.0), deviation / F.greatest(F.lit(1.0), total / n) * 200)).otherwise(40.0)
+
+    zero = F.lit(0.0)
+    return F.aggregate(
+        lengths,
+        F.struct(zero.alias("n"), zero.alias("total"), zero.alias("squares")),
+        lambda acc, x: F.struct(
+            (acc["n"] + 1.0).alias("n"), (acc["total"] + x).alias("total"), (acc["squares"] + x * x).alias("squares")),
+        spread,
+    )
 
 
 def retention_prediction(

@@ -32,23 +32,26 @@ def char_ratio(a: str, b: str, autojunk: bool = False) -> float:
     return SequenceMatcher(None, a, b, autojunk).ratio()
 
 
-def _ratio_udf():
+def _ratio_udf(threshold: float):
     # defined here so that it travels to the executors by value
     from difflib import SequenceMatcher
 
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b)], dtype="float64")
+        out = []
+        for x, y in zip(a, b):
+            pair = SequenceMatcher(None, x, y, False)
+            # the common characters, counted, bound the ratio from above
+            out.append(pair.ratio() if pair.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(ratios, T.DoubleType())
 
 
 def _grams(c: Column, n: int) -> Column:
-    """All ``n``-character pieces of a text with their occurrence number, so that sets count repeats."""
+    """All ``n``-character pieces of a text, repeats included."""
     size = F.length(c)
-    raw = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))
-    raw = F.coalesce(raw, F.array().cast("array<string>"))
-    nth = lambda g, i: F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda h: h == g))
-    return F.transform(raw, lambda g, i: F.concat(g, F.lit("\x01"), nth(g, i).cast("string")))
+    pieces = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))
+    return F.coalesce(pieces, F.array().cast("array<string>"))
 
 
 def closest_short_text(
@@ -86,15 +89,20 @@ def closest_short_text(
         .withColumn("n", F.length("text")),
         "short-texts",
     )
-    tokens = both.select("text", "is_candidate", "n", F.explode(F.array_distinct(F.concat(
-        _grams(F.col("text"), 2), F.when(F.col("n") < short, _grams(F.col("text"), 1)).otherwise(
-            F.array().cast("array<string>"))
-    ))).alias("gram"))
-    # rarest first; a text appears once per side, its grams are at most its length
+    pieces = both.select("text", "is_candidate", "n", F.explode(F.concat(
+        _grams(F.col("text"), 2),
+        F.when(F.col("n") < short, _grams(F.col("text"), 1)).otherwise(F.array().cast("array<string>")),
+    )).alias("piece"))
+    # a repeated piece becomes several tokens, so that common tokens count repeats
+    tokens = pieces.groupBy("text", "is_candidate", "n", "piece").agg(F.count("*").alias("times")).select(
+        "text", "is_candidate", "n", (F.length("piece") == 1).alias("single"),
+        F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "times"), lambda k: F.concat("piece", F.lit("\x01"), k.cast("string"))))
+        .alias("gram"),
+    )
     df = tokens.groupBy("gram").agg(F.count("*").alias("df"))
+    # rarest first; the tokens of one text are at most twice its length
     by_text = Window.partitionBy("text", "is_candidate", "single").orderBy("df", "gram")
-    single = F.length(F.substring_index("gram", "\x01", 1)) == 1
-    ranked = tokens.join(df, "gram").withColumn("single", single).withColumn("rank", F.row_number().over(by_text))
+    ranked = tokens.join(df, "gram").withColumn("rank", F.row_number().over(by_text))
 
     # for the shortest partner the length band allows, rounded towards keeping more
     pairs_needed = F.ceil(F.col("n") * ((3 * t - 2) / (2 - t)) - 1 - 1e-9)
@@ -108,11 +116,9 @@ def closest_short_text(
     in_band = (F.col("nb") >= F.col("na") * (t / (2 - t)) - 1e-9) & (F.col("na") >= F.col("nb") * (t / (2 - t)) - 1e-9)
     pairs = left.join(right, "gram").filter(in_band).select("a", "b").distinct()
 
-    shared = F.size(F.array_intersect(_grams(F.col("a"), 1), _grams(F.col("b"), 1)))
-    possible = 2 * shared >= t * (F.length("a") + F.length("b")) - 1e-9
     found = (
-        pairs.filter(possible)
-        .withColumn("ratio", _ratio_udf()("a", "b"))
+        pairs
+        .withColumn("ratio", _ratio_udf(t)("a", "b"))
         .filter(F.col("ratio") >= t)
         .groupBy(F.col("a").alias("text")).agg(F.max("ratio").alias("ratio"))
     )
@@ -127,14 +133,18 @@ def closest_short_text(
 def shingles(c: Column, width: int = 3) -> Column:
     """Distinct hashed runs of ``width`` words; a shorter text is one run."""
     w = X.words(X.normalise(c))
-    runs = F.when(
-        F.size(w) >= width,
-        F.transform(
-            F.sequence(F.lit(0), F.size(w) - width),
-            lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]),
-        ),
-    ).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
-    return F.array_distinct(F.coalesce(runs, F.array().cast("array<bigint>")))
+    # the list is zipped with itself shifted; a lambda that indexed it would rebuild it for every element
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    for j in range(1, width):
+        hashed = F.zip_with(
+            hashed, F.slice(w, j + 1, 1_000_000_000),
+            lambda h, x: F.when(h.isNotNull() & x.isNotNull(), F.xxhash64(h, x)),
+        )
+    runs = F.array_compact(hashed)
+    return F.array_distinct(
+        F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+        .otherwise(F.array().cast("array<bigint>"))
+    )
 
 
 def closest_document(
@@ -196,8 +206,10 @@ def closest_document(
     hot_a = hot.select(F.col("rep").alias("a"), F.col("hot").alias("hot_a"))
     hot_b = hot.select(F.col("rep").alias("b"), F.col("hot").alias("hot_b"))
     common = F.col("common") + F.size(F.array_intersect(F.coalesce("hot_a", none), F.coalesce("hot_b", none)))
+    # most pairs share a rare shingle by chance only and cannot get there even with all their hot ones
+    reachable = F.col("common") + F.size(F.coalesce("hot_a", none)) >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
     by_rare = (
-        counted.join(hot_a, "a", "left").join(hot_b, "b", "left")
+        counted.join(hot_a, "a", "left").filter(reachable).join(hot_b, "b", "left")
         .select(F.col("a").alias("rep"), (common / (F.col("na") + F.col("nb") - common)).alias("sim"))
         .filter(F.col("sim") >= t)
     )

@@ -9,6 +9,8 @@ from castwise.catalog.base import half_up, query, table, view
 from castwise.catalog.selections import SIGNALS, _hits, _strip
 from castwise.functions import clock, scores, text
 from castwise.plans import documentary, performance, quality, timeline
+from castwise.session import staged
+from castwise.sources.readers import spread
 
 BEATS = {"setup": ("the ", "elle", "ich"), "conflict": ("but", "ung"), "turn": ("then", "tion"), "lesson": ("us", "que")}
 EMOTION = ("her", "that", "and", "der", "elle", "con")
@@ -25,7 +27,7 @@ def _array(words) -> str:
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), folder, "documents", "doc_id")
 
 
 @query("text_profile", r"""
@@ -366,7 +368,8 @@ _RESCALED = _SCENES + r""",
 def _rescaled(spark, folder):
     spoken = _docs(spark, folder).select(
         F.col("doc_id").alias("run_id"), text.reading_seconds(text.word_count(F.col("text"))).alias("narration_seconds"))
-    return timeline.rescale(_scenes(spark, folder), spoken)
+    # the scene table is a stage of its own: the totals and the scenes themselves are read from it
+    return timeline.rescale(staged(_scenes(spark, folder).select("run_id", "idx", "narration", "duration"), "scenes"), spoken)
 
 
 @query("scene_rescale", _RESCALED + "select run_id, idx, duration from res")
@@ -386,7 +389,7 @@ _CUES = _RESCALED + f""",
 
 
 def _cues(spark, folder):
-    scenes = _rescaled(spark, folder)
+    scenes = staged(_rescaled(spark, folder), "rescaled-scenes")
     gaps = scenes.withColumn("narration", F.when(F.col("idx") % 7 == 3, " ").otherwise(F.col("narration")))
     return timeline.caption_cues(gaps)
 

@@ -27,7 +27,7 @@ def _array(words) -> str:
 
 
 def _docs(spark, folder):
-    return spread(table(spark, folder, "documents"), folder, "documents", "doc_id")
+    return spread(table(spark, folder, "documents"), folder, "documents")
 
 
 @query("text_profile", r"""

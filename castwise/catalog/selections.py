@@ -10,6 +10,7 @@ from castwise.catalog.listings import _TOTAL
 from castwise.functions import scores, text
 from castwise.operators.ranking import fill_if_short, flag_best
 from castwise.operators.similarity import closest_short_text
+from castwise.sources.readers import spread
 from castwise.plans import candidates, documentary, facts, topics
 
 # The test prose is invented and has none of the real marker words, so these
@@ -25,6 +26,10 @@ def _hits(column: str, words) -> str:
     return " + ".join(f"contains({column}, '{w}')::int" for w in words)
 
 
+def _conversations(spark, folder):
+    return spread(table(spark, folder, "conversations"), folder, "conversations")
+
+
 @query("topic_corpus", """
     select topic from content_v where topic <> '' and topic is not null
     union all
@@ -213,7 +218,7 @@ _HOOK_REPLY = """'Hook ' || turn || ': "' || replace(text, chr(10), ' ') || '"'
 
 
 def _hook_lines(spark, folder):
-    rows = table(spark, folder, "conversations").withColumn("reply", F.expr(_HOOK_REPLY.replace("chr(10)", "'\\n'")))
+    rows = _conversations(spark, folder).withColumn("reply", F.expr(_HOOK_REPLY.replace("chr(10)", "'\\n'")))
     lines = candidates.hook_lines(rows, "conv_id", "turn", "reply")
     return lines.withColumn("position", F.col("turn") * 1000 + F.col("line")).drop("turn", "line")
 
@@ -257,7 +262,7 @@ _TITLES = f"""
       select *, row_number() over (partition by conv_id order by round(score, 4) desc, position) as rn from s) where rn = 1
 """)
 def title_best(spark, folder):
-    rows = table(spark, folder, "conversations").select(
+    rows = _conversations(spark, folder).select(
         "conv_id", "turn", F.posexplode(F.split("text", "[.!?]+")).alias("i", "piece"))
     lines = rows.select(
         "conv_id", (F.col("turn") * 100000 + F.col("i")).alias("position"),
@@ -367,7 +372,7 @@ def extract_facts(spark, folder):
     select *, ['fact', 'event', 'person', 'stat', 'date'][pos % 5 + 1] as information_type from q
 """)
 def note_facts(spark, folder):
-    notes = table(spark, folder, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    notes = _conversations(spark, folder).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return facts.facts_from_notes(notes, "id", "text").select("dossier_id", "pos", "claim", "information_type")
 
 

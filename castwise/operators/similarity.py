@@ -75,19 +75,22 @@ def closest_short_text(
     # texts below this length can reach the threshold without any common pair
     short = (2 - t) / (1.5 * t - 1) if t > 2 / 3 else math.inf
     cand = candidates.select(key, X.normalise(F.coalesce(F.col(candidate_text), F.lit(""))).alias("a"))
-    corpus = existing.select(X.normalise(F.col(existing_text)).alias("b")).filter(F.col("b").isNotNull()).distinct()
-    texts = cand.select(F.col("a").alias("text")).distinct()
-
+    corpus = staged(
+        existing.select(X.normalise(F.col(existing_text)).alias("text")).filter(F.col("text").isNotNull()).distinct(),
+        "corpus-texts",
+    )
     # texts present on both sides need no comparison
-    equal = texts.join(corpus, texts["text"] == corpus["b"], "left_semi").withColumn("ratio", F.lit(1.0))
-    open_texts = texts.join(corpus, texts["text"] == corpus["b"], "left_anti")
-
-    both = staged(
-        open_texts.select("text", F.lit(True).alias("is_candidate"))
-        .unionByName(corpus.select(F.col("b").alias("text"), F.lit(False).alias("is_candidate")))
+    texts = staged(
+        cand.select(F.col("a").alias("text")).distinct()
+        .join(corpus.withColumn("known", F.lit(True)), "text", "left"),
+        "candidate-texts",
+    )
+    equal = texts.filter("known").select("text", F.lit(1.0).alias("ratio"))
+    both = (
+        texts.filter(F.col("known").isNull()).select("text", F.lit(True).alias("is_candidate"))
+        .unionByName(corpus.select("text", F.lit(False).alias("is_candidate")))
         .filter(F.col("text") != "")
-        .withColumn("n", F.length("text")),
-        "short-texts",
+        .withColumn("n", F.length("text"))
     )
     pieces = both.select("text", "is_candidate", "n", F.explode(F.concat(
         _grams(F.col("text"), 2),
@@ -130,19 +133,19 @@ def closest_short_text(
 
 # ---------------------------------------------------------------- shingle Jaccard
 
-def shingles(c: Column, width: int = 3) -> Column:
-    """Distinct hashed runs of ``width`` words; a shorter text is one run."""
-    w = X.words(X.normalise(c))
+def shingles(words: Column, width: int = 3) -> Column:
+    """Distinct hashed runs of ``width`` words; a shorter text is one run.
+
+    ``words`` should be a plain column: it is read several times.
+    """
     # the list is zipped with itself shifted; a lambda that indexed it would rebuild it for every element
-    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    n = F.size(words) - (width - 1)
+    runs = F.transform(F.slice(words, F.lit(1), F.greatest(n, F.lit(0))), lambda x: F.xxhash64(x))
     for j in range(1, width):
-        hashed = F.zip_with(
-            hashed, F.slice(w, j + 1, 1_000_000_000),
-            lambda h, x: F.when(h.isNotNull() & x.isNotNull(), F.xxhash64(h, x)),
-        )
-    runs = F.array_compact(hashed)
+        shifted = F.slice(words, F.lit(j + 1), F.greatest(n, F.lit(0)))
+        runs = F.zip_with(runs, shifted, lambda h, x: F.xxhash64(h, x))
     return F.array_distinct(
-        F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+        F.when(n > 0, runs).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " "))))
         .otherwise(F.array().cast("array<bigint>"))
     )
 
@@ -172,15 +175,16 @@ def closest_document(
     t = threshold
     docs = documents.select(
         "doc_id", F.col("existing").cast("boolean").alias("existing"),
-        F.sha2(X.normalise(F.coalesce(F.col("text"), F.lit(""))), 256).alias("h"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+        X.normalise(F.coalesce(F.col("text"), F.lit(""))).alias("normal"),
+    ).withColumn("h", F.sha2("normal", 256))
     groups = docs.groupBy("h").agg(
-        F.min(F.struct("doc_id", "text")).alias("first"),
+        F.min(F.struct("doc_id", "normal")).alias("first"),
         F.count_if("existing").alias("n_existing"),
     )
+    words = F.when(F.col("first.normal") != "", F.split("first.normal", " ")).otherwise(F.array().cast("array<string>"))
     reps = staged(
-        groups.select("h", "n_existing", F.col("first.doc_id").alias("rep"), shingles(F.col("first.text"), width).alias("sh"))
+        groups.select("h", "n_existing", F.col("first.doc_id").alias("rep"), words.alias("words"))
+        .select("h", "n_existing", "rep", shingles(F.col("words"), width).alias("sh"))
         .select("h", "n_existing", "rep", F.size("sh").alias("n"), "sh"),
         "shingle-sets",
     )

@@ -15,7 +15,7 @@ from castwise.operators.ranking import flag_best, top_per_group
 def hook_lines(replies: DataFrame, item: str, position: str, body: str, min_length: int = 15) -> DataFrame:
     """One cleaned line per row out of multi-line replies; short lines go. ``line`` counts within the reply."""
     return (
-        replies.select(item, position, F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("line", "raw"))
+        replies.select(item, position, F.posexplode_outer(F.split(body, r"\r\n|\r|\n")).alias("line", "raw"))
         .withColumn("hook", text.clean_hook(F.col("raw")))
         .filter(F.length("hook") > min_length)
         .drop("raw")

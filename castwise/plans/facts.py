@@ -100,8 +100,8 @@ def facts_from_extracts(extracts: DataFrame, key: str, body: str, source: str, l
     """Encyclopedia extracts as fact rows: the first long enough sentences."""
     return extracts.select(
         F.col(key).alias("dossier_id"),
-        F.posexplode(text.extract_sentences(F.col(body))).alias("pos", "claim"),
-    ).select(
+        F.posexplode_outer(text.extract_sentences(F.col(body))).alias("pos", "claim"),
+    ).filter(F.col("pos").isNotNull()).select(
         "dossier_id", "pos", "claim", F.col("claim").alias("detail"), F.lit(source).alias("source_name"),
         F.lit("fact").alias("information_type"), F.lit(license).alias("license"), F.lit(float(confidence)).alias("confidence"),
     )
@@ -112,7 +112,9 @@ def facts_from_notes(notes: DataFrame, key: str, body: str, limit: int = 5, conf
     kinds = F.array(*[F.lit(k) for k in P.FACT_KINDS])
     lines = F.filter(F.split(body, r"\r\n|\r|\n"), lambda x: text.strip(x) != "")
     bare = F.transform(lines, lambda x: text.strip(F.btrim(x, F.lit("-• "))))
-    return notes.select(F.col(key).alias("dossier_id"), F.posexplode(F.slice(bare, 1, limit)).alias("pos", "claim")).select(
+    return notes.select(F.col(key).alias("dossier_id"), F.posexplode_outer(F.slice(bare, 1, limit)).alias("pos", "claim")).filter(
+        F.col("pos").isNotNull()
+    ).select(
         "dossier_id", "pos", "claim", F.col("claim").alias("detail"), F.lit("General knowledge").alias("source_name"),
         F.element_at(kinds, F.pmod("pos", F.lit(len(P.FACT_KINDS))) + 1).alias("information_type"),
         F.lit("general-knowledge").alias("license"), F.lit(float(confidence)).alias("confidence"),

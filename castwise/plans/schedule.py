@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,8 +15,9 @@ from castwise.operators.sequences import interleave, largest_remainder
 def calendar(channels: DataFrame, rules: P.CalendarRules = P.CalendarRules()) -> DataFrame:
     """Slots of every channel (channel_id, start): date, format, category and sub-category.
 
-    A calendar is as long as ``rules.days``, so it is built inside its channel's row
-    with array functions; nothing is shuffled however many channels there are.
+    The order of categories and sub-categories depends on the number of slots only, so
+    it is worked out once per possible number (at most ``rules.days`` + 1 rows, which
+    is what gets broadcast). The rest happens inside the channel's row.
     """
     names = list(rules.mix)
     for name in names:
@@ -28,24 +29,42 @@ def calendar(channels: DataFrame, rules: P.CalendarRules = P.CalendarRules()) ->
         F.transform(clock.date_spine(F.col("start"), rules.days), lambda d: F.struct(d.alias("d"), day(d).alias("f"))),
         lambda s: s["f"].isNotNull(),
     )
-    with_slots = channels.select("channel_id", slots.alias("slots"))
-    counts = largest_remainder(list(rules.mix.values()), F.size("slots"))
-    picked = with_slots.withColumn("picks", interleave(counts, len(names)))
-
-    subs = F.array(*[F.array(*[F.lit(s) for s in rules.subcategories.get(n, (n,))]) for n in names])
-    rows = picked.select("channel_id", "picks", F.posexplode("slots").alias("slot", "s")).withColumn(
-        "c", F.get("picks", F.col("slot"))
-    )
-    # how often the category came before in this channel: its place in the rotation
-    turn = F.size(F.filter(F.slice("picks", F.lit(1), F.col("slot")), lambda x: x == F.col("c")))
-    options = F.get(subs, F.col("c"))
+    with_slots = channels.select("channel_id", slots.alias("slots")).withColumn("n", F.size("slots"))
+    rows = with_slots.join(F.broadcast(_pattern(channels.sparkSession, rules, names)), "n").select(
+        "channel_id",
+        # the outer form keeps the optimizer from testing the arrays in front, which would build them twice
+        F.posexplode_outer(F.zip_with("slots", "pattern", lambda s, p: F.struct(
+            s["d"].alias("d"), s["f"].alias("f"), p["category"].alias("c"), p["subcategory"].alias("sub"),
+        ))).alias("slot", "s"),
+    ).filter(F.col("slot").isNotNull())
     return rows.select(
         "channel_id", "slot",
         F.col("s.d").cast("string").alias("date"),
         F.date_format("s.d", "E").alias("weekday"),
-        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1).alias("category"),
-        F.element_at(options, F.pmod(turn, F.size(options)) + 1).alias("subcategory"),
-        F.col("s.f").alias("format"),
+        F.col("s.c").alias("category"), F.col("s.sub").alias("subcategory"), F.col("s.f").alias("format"),
+    )
+
+
+def _pattern(spark: SparkSession, rules: P.CalendarRules, names: list[str]) -> DataFrame:
+    """For every number of slots ``n``: category and sub-category of each slot."""
+    n = F.col("n")
+    counts = largest_remainder(list(rules.mix.values()), n)
+    subs = F.array(*[F.array(*[F.lit(s) for s in rules.subcategories.get(c, (c,))]) for c in names])
+    labels = F.array(*[F.lit(c) for c in names])
+
+    def slot(c: Column, i: Column) -> Column:
+        # how often the category came before: its place in the rotation
+        turn = F.size(F.filter(F.slice("picks", F.lit(1), i), lambda x: x == c))
+        options = F.get(subs, c)
+        return F.struct(
+            F.element_at(labels, c + 1).alias("category"),
+            F.element_at(options, F.pmod(turn, F.size(options)) + 1).alias("subcategory"),
+        )
+
+    return (
+        spark.range(rules.days + 1).select(F.col("id").cast("int").alias("n"))
+        .select("n", interleave(counts, len(names)).alias("picks"))
+        .select("n", F.transform("picks", slot).alias("pattern"))
     )
 
 

@@ -11,6 +11,7 @@ from castwise import params as P
 from castwise.functions import scores, text
 from castwise.operators.ranking import first_occurrence, top_per_group
 from castwise.operators.similarity import closest_short_text
+from castwise.session import staged
 
 DIMENSIONS = ("virality", "curiosity", "evergreen", "educational", "emotional", "competition")
 
@@ -75,13 +76,17 @@ def opportunities(
     that reaches ``min_total``.
     """
     cheap = scored(topics, weights)
-    few = top_per_group(cheap, ["category"], [F.col("total").desc(), F.col("topic_id")], top_k)
+    few = staged(
+        top_per_group(cheap, ["category"], [F.col("total").desc(), F.col("topic_id")], top_k)
+        .select("topic_id", "category", "angle", "total"),
+        "topic-candidates",
+    )
     checked = closest_short_text(few, existing, "topic_id", "angle", "topic", threshold)
-    final = few.join(checked, "topic_id").select(
+    final = staged(few.join(checked, "topic_id").select(
         "topic_id", "category", "angle",
         F.round(F.col("max_similarity") * 100, 1).alias("duplicate"),
         F.round(F.col("total") - F.when(F.col("is_duplicate"), 100).otherwise(0), 1).alias("total"),
-    )
+    ), "checked-topics")
     # at most ``top_k`` rows per category are left here
     best = top_per_group(
         final.filter(F.col("total") >= min_total), ["category"], [F.col("total").desc(), F.col("topic_id")], 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,23 +12,38 @@ from castwise.operators.joins import insert_if_absent
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, partitions: Sequence[str] = ()) -> None:
-    """Append under ``batch_id``; writing the same batch again replaces it instead of doubling its rows."""
+    """Append as batch ``batch_id``, a partition of the table.
+
+    The folder of the batch is replaced as a whole, so writing the same batch again
+    leaves one copy of it, whatever partitions its first attempt had.
+    """
+    if not re.fullmatch(r"[\w.-]+", batch_id):
+        raise ValueError("batch_id may hold letters, digits, '_', '-' and '.' only")
     (
-        df.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *partitions).parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy(*partitions).parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     )
 
 
 def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Overwrite only the partitions that ``df`` has rows for."""
+    """Overwrite only the partitions that ``df`` has rows for.
+
+    A partition that loses its last row is not touched; partition by columns an
+    update does not change.
+    """
     (
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
     )
 
 
-def insert_absent(existing: DataFrame, new: DataFrame, key: str, path: str, batch_id: str) -> None:
-    append_batch(insert_if_absent(existing, new, key), path, batch_id)
+def insert_absent(
+    existing: DataFrame, new: DataFrame, key: str, path: str, batch_id: str, partitions: Sequence[str] = ()
+) -> None:
+    """Append the rows whose key is not stored yet.
+
+    ``existing`` must not include ``batch_id`` itself, or a repeated run would find its own rows.
+    """
+    append_batch(insert_if_absent(existing, new, key), path, batch_id, partitions)
 
 
 def json_report(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:

@@ -356,11 +356,13 @@ def plan_totals(spark, folder):
 
 
 _RESCALED = _SCENES + r""",
-    tot as (select run_id, cast(sum(cast(greatest(duration, 0.8) as decimal(18, 2))) as double) as total,
-              any_value(round(greatest(1, len(regexp_extract_all(text, '\S+'))) / 155.0::double * 60.0::double, 2)) as narration_seconds from plan group by 1),
+    spoken as (select doc_id as run_id, round(greatest(1, len(regexp_extract_all(text, '\S+'))) / 155.0::double * 60.0::double, 2)
+                 as narration_seconds from documents),
+    sums as (select run_id, cast(sum(cast(greatest(duration, 0.8) as decimal(18, 2))) as double) as total from plan group by 1),
+    tot as (select * from sums join spoken using (run_id)),
     res as (
       select p.run_id, idx, narration, case when abs(total - narration_seconds) > 1.0
-        then round(greatest(duration, 0.8::double) * (narration_seconds / total), 2) else duration end as duration
+        then """ + half_up("greatest(duration, 0.8::double) * (narration_seconds / total)", 2) + r""" else duration end as duration
       from plan p join tot t on t.run_id = p.run_id)
 """
 

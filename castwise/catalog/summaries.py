@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from castwise.catalog.base import query, table, view
 from castwise.plans import performance as perf
+from castwise.session import scratch_dir
 from castwise.streaming import summaries as live
 
 MIX = {"ECONOMY": 0.3, "SMALL": 0.3, "PROMO": 0.2, "STANDARD": 0.2}
@@ -172,3 +175,18 @@ def stream_audit(spark, folder):
         F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"),
     )
     return live.drain(live.run_counts(runs), "audit")
+
+
+@query("stream_append", """
+    select agent, count(*) as rows, cast(sum(duration_ms) as bigint) as total_ms from runs_v group by 1
+""", ["runs_v"])
+def stream_append(spark, folder):
+    """Arriving runs appended to a table; the second start finds nothing new and adds nothing."""
+    base = f"{scratch_dir(spark)}/castwise/stream-append-{uuid.uuid4().hex}"
+    for _ in range(2):
+        events = live.arriving(spark, f"{folder}/{{events}}.parquet", table(spark, folder, "events"))
+        rows = events.select(
+            F.col("event_type").alias("agent"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"))
+        live.append_stream(rows, f"{base}/table", "runs", f"{base}/progress")
+    return spark.read.parquet(f"{base}/table").groupBy("agent").agg(
+        F.count("*").alias("rows"), F.sum("duration_ms").alias("total_ms"))

@@ -12,6 +12,7 @@ from castwise import params as P
 from castwise.functions import scores, text
 from castwise.functions.clock import week_label
 from castwise.operators.ranking import top, top_per_group
+from castwise.session import staged
 
 EXACT = "decimal(38,4)"
 
@@ -89,7 +90,8 @@ def published_by_category(content: DataFrame, analytics: DataFrame) -> DataFrame
 
 def category_performance(content: DataFrame, analytics: DataFrame) -> DataFrame:
     """``published_by_category`` with the leading category flagged (equal means: the first name)."""
-    table = published_by_category(content, analytics)
+    # a row per category, read twice below: stored, so that the analytics are read once
+    table = staged(published_by_category(content, analytics), "category-performance")
     rated = table.filter(F.col("avg_retention").isNotNull())
     leader = rated.select(F.min(F.struct(-F.col("avg_retention"), "category"))["category"].alias("c"))
     return table.withColumn("is_leader", F.coalesce(F.col("category") == leader.scalar(), F.lit(False)))

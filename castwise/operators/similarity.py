@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from castwise.functions import text as X
 from castwise.session import staged
@@ -54,6 +53,11 @@ def _grams(c: Column, n: int) -> Column:
     return F.coalesce(pieces, F.array().cast("array<string>"))
 
 
+def _first_meeting(pa: str, ia: str, pb: str, ib: str) -> Column:
+    """Nothing before the current positions is common to both ordered lists."""
+    return ~F.arrays_overlap(F.slice(pa, F.lit(1), F.col(ia)), F.slice(pb, F.lit(1), F.col(ib)))
+
+
 def closest_short_text(
     candidates: DataFrame,
     existing: DataFrame,
@@ -103,24 +107,26 @@ def closest_short_text(
         .alias("gram"),
     )
     df = tokens.groupBy("gram").agg(F.count("*").alias("df"))
-    # rarest first; the tokens of one text are at most twice its length
-    by_text = Window.partitionBy("text", "is_candidate", "single").orderBy("df", "gram")
-    ranked = tokens.join(df, "gram").withColumn("rank", F.row_number().over(by_text))
-
+    # one row per text: its tokens, rarest first, cut where a partner must have shown up; both lists are as short as the text
+    in_order = lambda kind: F.array_sort(F.collect_list(F.when(kind, F.struct("df", "gram"))))
+    lists = tokens.join(df, "gram").groupBy("text", "is_candidate", "n").agg(
+        in_order(~F.col("single")).alias("pairs"), in_order(F.col("single")).alias("chars"))
     # for the shortest partner the length band allows, rounded towards keeping more
     pairs_needed = F.ceil(F.col("n") * ((3 * t - 2) / (2 - t)) - 1 - 1e-9)
     chars_needed = F.ceil(F.col("n") * (t / (2 - t)) - 1e-9)
-    keep = F.when(F.col("single"), F.col("rank") <= F.col("n") - chars_needed + 1).otherwise(
-        F.col("rank") <= F.col("n") - F.greatest(pairs_needed, F.lit(1)))
-    index = ranked.filter(keep).select("text", "is_candidate", "n", "gram")
-
-    left = index.filter("is_candidate").select(F.col("text").alias("a"), F.col("n").alias("na"), "gram")
-    right = index.filter("not is_candidate").select(F.col("text").alias("b"), F.col("n").alias("nb"), "gram")
+    first = lambda c, k: F.slice(c, F.lit(1), F.greatest(k, F.lit(0)).cast("int"))
+    index = lists.select("text", "is_candidate", "n", F.transform(F.array_sort(F.concat(
+        first("pairs", F.col("n") - F.greatest(pairs_needed, F.lit(1))), first("chars", F.col("n") - chars_needed + 1),
+    )), lambda r: r["gram"]).alias("prefix"))
+
+    left = index.filter("is_candidate").select(
+        F.col("text").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), F.posexplode("prefix").alias("ia", "gram"))
+    right = index.filter("not is_candidate").select(
+        F.col("text").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.posexplode("prefix").alias("ib", "gram"))
     in_band = (F.col("nb") >= F.col("na") * (t / (2 - t)) - 1e-9) & (F.col("na") >= F.col("nb") * (t / (2 - t)) - 1e-9)
-    pairs = left.join(right, "gram").filter(in_band).select("a", "b").distinct()
-
+    # a pair meets at its first common token only and goes straight on to the maximum: pairs are not shuffled
     found = (
-        pairs
+        left.join(right, "gram").filter(in_band & _first_meeting("pa", "ia", "pb", "ib"))
         .withColumn("ratio", _ratio_udf(t)("a", "b"))
         .filter(F.col("ratio") >= t)
         .groupBy(F.col("a").alias("text")).agg(F.max("ratio").alias("ratio"))
@@ -226,18 +232,16 @@ def closest_document(
         F.col("class_id"), (F.size("hot") / (2 * F.col("n") - F.size("hot"))).alias("sim"),
         F.col("existing_members"),
     )
-    prefix = classes.select(
-        "class_id", "n", "hot", "existing_members",
-        F.explode(F.slice("hot", F.lit(1), (F.size("hot") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("s"),
-    )
-    pl = prefix.select("s", F.col("class_id").alias("a"), F.col("n").alias("na"))
-    pr = prefix.filter("existing_members > 0").select("s", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    class_pairs = pl.join(pr, "s").filter((F.col("a") != F.col("b")) & size_ok).select("a", "b", "na", "nb").distinct()
-    class_hot = classes.select("class_id", "hot")
+    # classes meet at the first common shingle of their prefixes, are compared there and then, and only the maximum
+    # goes on: no pair is written or shuffled, and a crowded shingle is split over tasks as any skewed join key
+    cut = (F.size("hot") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
+    prefix = classes.withColumn("prefix", F.slice("hot", F.lit(1), cut)).select(
+        "class_id", "n", "hot", "existing_members", "prefix", F.posexplode("prefix").alias("i", "s"))
+    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("class_id", ""), ("n", "n"), ("hot", "hot_"), ("prefix", "p"), ("i", "i"))]
     inter = F.size(F.array_intersect("hot_a", "hot_b"))
     across = (
-        class_pairs.join(class_hot.select(F.col("class_id").alias("a"), F.col("hot").alias("hot_a")), "a")
-        .join(class_hot.select(F.col("class_id").alias("b"), F.col("hot").alias("hot_b")), "b")
+        prefix.select("s", *side("a")).join(prefix.filter("existing_members > 0").select("s", *side("b")), "s")
+        .filter((F.col("a") != F.col("b")) & size_ok & _first_meeting("pa", "ia", "pb", "ib"))
         .select(F.col("a").alias("class_id"), (inter / (F.col("na") + F.col("nb") - inter)).alias("sim"))
         .groupBy("class_id").agg(F.max("sim").alias("across"))
     )

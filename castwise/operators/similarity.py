@@ -55,7 +55,9 @@ def _grams(c: Column, n: int) -> Column:
 
 def _first_meeting(pa: str, ia: str, pb: str, ib: str) -> Column:
     """Nothing before the current positions is common to both ordered lists."""
-    return ~F.arrays_overlap(F.slice(pa, F.lit(1), F.col(ia)), F.slice(pb, F.lit(1), F.col(ib)))
+    # in near copies the entries just before agree almost always, which spares the full test
+    just_before = F.coalesce(F.get(pa, F.col(ia) - 1) == F.get(pb, F.col(ib) - 1), F.lit(False))
+    return ~just_before & ~F.arrays_overlap(F.slice(pa, F.lit(1), F.col(ia)), F.slice(pb, F.lit(1), F.col(ib)))
 
 
 def closest_short_text(
@@ -239,9 +241,12 @@ def closest_document(
         "class_id", "n", "hot", "existing_members", "prefix", F.posexplode("prefix").alias("i", "s"))
     side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("class_id", ""), ("n", "n"), ("hot", "hot_"), ("prefix", "p"), ("i", "i"))]
     inter = F.size(F.array_intersect("hot_a", "hot_b"))
+    # both lists are in one order, so all common shingles lie at or behind the first meeting
+    left_over = F.least(F.size("hot_a") - F.col("ia"), F.size("hot_b") - F.col("ib"))
+    enough_left = left_over >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
     across = (
         prefix.select("s", *side("a")).join(prefix.filter("existing_members > 0").select("s", *side("b")), "s")
-        .filter((F.col("a") != F.col("b")) & size_ok & _first_meeting("pa", "ia", "pb", "ib"))
+        .filter((F.col("a") != F.col("b")) & size_ok & enough_left & _first_meeting("pa", "ia", "pb", "ib"))
         .select(F.col("a").alias("class_id"), (inter / (F.col("na") + F.col("nb") - inter)).alias("sim"))
         .groupBy("class_id").agg(F.max("sim").alias("across"))
     )

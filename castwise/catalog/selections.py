@@ -249,6 +249,21 @@ def hook_rank(spark, folder):
     return candidates.rank_hooks(_hook_lines(spark, folder), "conv_id", "position", SIGNALS)
 
 
+@query("hook_padding", _HOOKS + """,
+    n as (select conv_id, count(h.hook) as n, max(position) as last
+          from (select distinct conv_id from conversations) c left join (select * from h where length(hook) > 60) h using (conv_id) group by 1)
+    select conv_id, position, hook from h where length(hook) > 60
+    union all
+    select conv_id, coalesce(last, -1) + i, 'There is something about conversation ' || conv_id || ' almost no one notices.'
+    from n, range(1, 11) r(i) where i <= 10 - n
+""")
+def hook_padding(spark, folder):
+    hooks = _hook_lines(spark, folder).filter(F.length("hook") > 60)
+    items = table(spark, folder, "conversations").select("conv_id").distinct().withColumn(
+        "topic", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
+    return candidates.pad_hooks(hooks, items, "conv_id", "position")
+
+
 _TITLES = f"""
     with raw as (select conv_id, turn, string_split_regex(text, '[.!?]+') as ls from conversations),
     l as (select conv_id, turn * 100000 + unnest(range(0, len(ls))) as position, (turn % 4 + 1) || '. "' || {_strip('unnest(ls)')} || '"' as raw from raw),

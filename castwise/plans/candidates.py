@@ -22,6 +22,21 @@ def hook_lines(replies: DataFrame, item: str, position: str, body: str, min_leng
     )
 
 
+def pad_hooks(candidates: DataFrame, items: DataFrame, item: str, position: str, minimum: int = 10,
+              filler: str = P.HOOK_FILLER) -> DataFrame:
+    """Every item of (item, topic) gets filler lines up to ``minimum`` hooks, placed behind its own."""
+    sizes = candidates.groupBy(item).agg(F.count("*").alias("__n"), F.max(position).alias("__last"))
+    missing = items.join(sizes, item, "left").withColumn("__n", F.coalesce("__n", F.lit(0))).filter(F.col("__n") < minimum)
+    lines = missing.select(
+        item, "topic", F.coalesce(F.col("__last").cast("long"), F.lit(-1)).alias("__last"),
+        F.explode(F.sequence(F.lit(1), minimum - F.col("__n"))).alias("__i"),
+    ).select(
+        item, (F.col("__last") + F.col("__i")).alias(position),
+        text.fill_template(filler, {"topic": F.col("topic")}).alias("hook"),
+    )
+    return candidates.select(item, F.col(position).cast("long").alias(position), "hook").unionByName(lines)
+
+
 def rank_hooks(
     candidates: DataFrame,
     item: str,

@@ -26,17 +26,19 @@ def platform_metadata(
     platforms: Sequence[str] = tuple(P.PLATFORMS),
     rules: Mapping[str, P.Platform] = P.PLATFORMS,
     base_tags: Sequence[str] = P.BASE_HASHTAGS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per item and platform, every text trimmed to the platform's limits.
 
-    ``items`` has (id, topic, category, title, description, disclosure). Row-local: no shuffle.
+    ``items`` has (id, topic, category, title, description, disclosure); columns named in
+    ``carry`` (such as video_path, thumbnail_path, srt_path) come along. Row-local: no shuffle.
     """
     base = F.array(F.col("category"), *[F.lit(w) for w in P.KEYWORD_BASE])
     told = F.when(
         text.present(F.col("disclosure")), F.concat("description", F.lit("\n\n"), "disclosure")
     ).otherwise(F.col("description"))
     prepared = items.select(
-        "id", "category", "title", told.alias("told"), text.keywords(F.col("topic"), base).alias("words"),
+        "id", "category", "title", told.alias("told"), text.keywords(F.col("topic"), base).alias("words"), *carry,
     )
     rows = for_each(prepared, platforms, "platform")
     p = F.col("platform")
@@ -55,6 +57,7 @@ def platform_metadata(
         text.fit(desc, _rule(rules, "desc_max", p)).alias("description"),
         F.slice("words", F.lit(1), _rule(rules, "tags", p)).alias("tags"),
         F.slice(tags, F.lit(1), _rule(rules, "hashtags", p)).alias("hashtags"),
+        *carry,
     )
 
 
@@ -80,7 +83,9 @@ def publish_results(
 
 def publish_manifest(results: DataFrame, run: str = "id") -> DataFrame:
     """One nested row per run: its packages and results (as many as there are platforms), any of them published."""
-    package = F.struct("platform", "title", "description", "tags", "hashtags", "category", F.lit("private").alias("privacy"))
+    paths = [c for c in ("video_path", "thumbnail_path", "srt_path") if c in results.columns]
+    package = F.struct(
+        "platform", "title", "description", "tags", "hashtags", "category", *paths, F.lit("private").alias("privacy"))
     return results.groupBy(run).agg(
         F.array_sort(F.collect_list(package)).alias("packages"),
         F.array_sort(F.collect_list(F.struct("platform", "status", "note"))).alias("results"),

@@ -113,22 +113,14 @@ def strategy_report(content: DataFrame, analytics: DataFrame, as_of: date = P.RE
         ),
     )
     leader, laggard = F.col("leader"), F.col("laggard")
-    told = F.concat(
-        F.lit("This period, "), leader, F.lit(" content led on average retention ("),
-        F.col("leader_retention").cast("string"), F.lit("%). "),
-        F.col("videos_published").cast("string"), F.lit(" videos published, "),
-        F.col("total_views").cast("string"), F.lit(" total views."),
-    )
-    nothing = F.lit(
-        "No published videos yet this period. Once content ships, this report will compare category "
-        "retention, hook styles, and publishing times."
-    )
-    actions = F.array(
-        F.concat(F.lit("Increase share of '"), leader, F.lit("' topics slightly next cycle.")),
-        F.concat(F.lit("Tighten intros on '"), laggard, F.lit("' content to lift early retention.")),
-        F.lit("Keep shorts under 70s; front-load the hook in the first 3 seconds."),
-    )
-    first_step = F.array(F.lit("Ship the first batch of videos to start collecting performance data."))
+    fields = {
+        "leader": leader, "laggard": laggard, "retention": F.col("leader_retention"),
+        "videos": F.col("videos_published"), "views": F.col("total_views"),
+    }
+    told = text.fill_template(P.REPORT_TEXT, fields)
+    actions = F.array(*[text.fill_template(a, fields) for a in P.REPORT_ACTIONS])
+    nothing = F.lit(P.EMPTY_REPORT_TEXT)
+    first_step = F.array(*[F.lit(a) for a in P.EMPTY_REPORT_ACTIONS])
     return row.select(
         week_label(F.lit(as_of)).alias("period"),
         "videos_published", "total_views", "leader", "laggard", "avg_retention_by_category",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ def drain(aggregate: DataFrame, label: str, folder: str | None = None) -> DataFr
         aggregate.writeStream.outputMode("complete").foreachBatch(publish)
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     )
-    versions = spark.read.schema(schema).option("basePath", f"{base}/result").parquet(f"{base}/result")
+    try:
+        versions = spark.read.schema(schema).parquet(f"{base}/result")
+    except AnalysisException:  # nothing has arrived yet
+        return spark.createDataFrame([], schema)
     return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 

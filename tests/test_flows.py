@@ -61,13 +61,15 @@ def test_script_from_reply(spark):
 def test_dry_run_and_disclosure(spark):
     items = spark.createDataFrame([(1, "rome", "history", "The Fall of Rome", "About rome.", "Narrated by an AI-generated presenter.")],
                                   "id int, topic string, category string, title string, description string, disclosure string")
-    meta = packaging.platform_metadata(items, ["youtube", "tiktok", "radio"])
+    items = items.withColumn("video_path", F.lit("v.mp4"))
+    meta = packaging.platform_metadata(items, ["youtube", "tiktok", "radio"], carry=["video_path"])
     rows = {r["platform"]: r for r in packaging.publish_results(meta).collect()}
     assert {p: r["status"] for p, r in rows.items()} == {"youtube": "dry_run", "tiktok": "dry_run", "radio": "skipped"}
     assert all("AI-generated presenter" in r["description"] for r in rows.values())
     assert len(rows["tiktok"]["hashtags"]) == 5 and len(rows["youtube"]["hashtags"]) == 3
     manifest = packaging.publish_manifest(packaging.publish_results(meta)).first()
     assert manifest["published"] and len(manifest["packages"]) == 3
+    assert manifest["packages"][0]["video_path"] == "v.mp4" and manifest["packages"][0]["privacy"] == "private"
 
 
 def _bundle(root, run, **record):
@@ -133,6 +135,9 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     schema = "video_id long, views long, retention double"
     like, state = spark.createDataFrame([], schema), str(tmp_path / "state")
     results = []
+    (tmp_path / "in").mkdir()
+    empty = summaries.arriving(spark, str(tmp_path / "in"), like)
+    assert summaries.drain(summaries.run_counts(empty.selectExpr("'a' as agent", "'s' as status")), "e", str(tmp_path / "e")).count() == 0
     for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = summaries.arriving(spark, str(tmp_path / "in"), like)

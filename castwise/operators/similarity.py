@@ -53,6 +53,11 @@ def _grams(c: Column, n: int) -> Column:
     return F.coalesce(pieces, F.array().cast("array<string>"))
 
 
+def _by_merge(df: DataFrame) -> DataFrame:
+    """No broadcast for an exploded side: Spark's estimate does not see how much rows multiply there."""
+    return df.hint("merge")
+
+
 def _first_meeting(pa: str, ia: str, pb: str, ib: str) -> Column:
     """Nothing before the current positions is common to both ordered lists."""
     # in near copies the entries just before agree almost always, which spares the full test
@@ -128,7 +133,7 @@ def closest_short_text(
     in_band = (F.col("nb") >= F.col("na") * (t / (2 - t)) - 1e-9) & (F.col("na") >= F.col("nb") * (t / (2 - t)) - 1e-9)
     # a pair meets at its first common token only and goes straight on to the maximum: pairs are not shuffled
     found = (
-        left.join(right, "gram").filter(in_band & _first_meeting("pa", "ia", "pb", "ib"))
+        left.join(_by_merge(right), "gram").filter(in_band & _first_meeting("pa", "ia", "pb", "ib"))
         .withColumn("ratio", _ratio_udf(t)("a", "b"))
         .filter(F.col("ratio") >= t)
         .groupBy(F.col("a").alias("text")).agg(F.max("ratio").alias("ratio"))
@@ -245,7 +250,8 @@ def closest_document(
     left_over = F.least(F.size("hot_a") - F.col("ia"), F.size("hot_b") - F.col("ib"))
     enough_left = left_over >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
     across = (
-        prefix.select("s", *side("a")).join(prefix.filter("existing_members > 0").select("s", *side("b")), "s")
+        prefix.select("s", *side("a")).join(
+            _by_merge(prefix.filter("existing_members > 0").select("s", *side("b"))), "s")
         .filter((F.col("a") != F.col("b")) & size_ok & enough_left & _first_meeting("pa", "ia", "pb", "ib"))
         .select(F.col("a").alias("class_id"), (inter / (F.col("na") + F.col("nb") - inter)).alias("sim"))
         .groupBy("class_id").agg(F.max("sim").alias("across"))

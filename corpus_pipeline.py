@@ -6,23 +6,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castwise.llm import simhash
+from castwise.llm import mixing, packing, quality, simhash
+from castwise.llm.common import read
 from castwise.session import scratch_dir
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies stays."""
+    """One document of every group of near copies."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target shares of clean, low and toxic text ask for."""
+    return mixing.mixed(docs, mixing.labelled_domains(read(spark, sf_dir, "labels")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
+
+STAGES = [("quality classifier", quality_filter), ("simhash near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None  # hashes, trees and suffix intervals are beyond SQL; the tests use brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``; every stage is written once and survives lost executors."""
+    docs = read(spark, sf_dir, "documents")
     root = f"{scratch_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for n, (name, stage) in enumerate(STAGES):
+    for n, (_, stage) in enumerate(STAGES):
         path = f"{root}/{n}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from castwise.llm import mixing, packing, quality, simhash
+from castwise.llm import mixing, packing, quality, simhash, suffix
 from castwise.llm.common import read
 from castwise.session import scratch_dir
 
@@ -21,6 +22,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that an earlier document has are cut out; documents left empty go."""
+    return suffix.deduplicated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target shares of clean, low and toxic text ask for."""
     return mixing.mixed(docs, mixing.labelled_domains(read(spark, sf_dir, "labels")))
@@ -31,7 +37,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.default_tokenizer())
 
 
-STAGES = [("quality classifier", quality_filter), ("simhash near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", substring_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
 ORACLE_SQL = None  # hashes, trees and suffix intervals are beyond SQL; the tests use brute force
 
 

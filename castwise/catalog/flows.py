@@ -170,7 +170,7 @@ def append_replay(spark, folder):
     from content_v c left join ch using (id)
 """, ["content_v"])
 def partition_rewrite(spark, folder):
-    """A keyed update of one category rewrites that partition and leaves the others alone."""
+    """A keyed update of one category rewrites that partition and leaves the others alone (``status_update`` changes all)."""
     path = _folder(spark, "rewrite")
     writers.replace_partitions(view(spark, folder, "content_v").select("id", "status", "category"), path, ["category"])
     changes = table(spark, folder, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("id")).agg(
@@ -205,16 +205,15 @@ def bundle_scan(spark, folder):
 
 
 @query("caption_sink", """
-    select user_id % 20 as run_id, count(*) as lines, cast(sum(length(event_type)) as bigint) as chars from events group by 1
+    select user_id as run_id, string_agg(event_type, chr(10) order by event_id) as text from events group by 1
 """)
 def caption_sink(spark, folder):
-    """Caption text per run, written by many tasks and read back."""
+    """The texts of all runs as one table, written and read back."""
     path = _folder(spark, "captions")
     cues = table(spark, folder, "events").select(
-        (F.col("user_id") % 20).alias("run_id"), F.col("event_id").alias("cue"), F.col("event_type").alias("cue_text"))
-    writers.caption_files(cues, path)
-    return spark.read.text(path).groupBy(F.col("run_id").cast("long").alias("run_id")).agg(
-        F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("cue"), F.col("event_type").alias("cue_text"))
+    writers.text_table(cues, path, "cue", "cue_text")
+    return spark.read.parquet(path).select("run_id", "text")
 
 
 @query("scan_pruned", "select p_name as topic from part where p_size <= 30")

@@ -39,16 +39,17 @@ def first_match(df: DataFrame, lookup_df: DataFrame, key: str, order: Sequence[C
 
 
 def keyed_update(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """``df`` with the named columns replaced where ``changes`` has a value for the key.
+    """``df`` with the named columns replaced where ``changes`` has a row for the key, by NULL too.
 
     With ``order`` given, only the first change per key counts; without it keys in
     ``changes`` must be unique.
     """
     if order:
         changes = top_per_group(changes, [key], order, 1)
-    renamed = changes.select(key, *[F.col(c).alias(f"__new_{c}") for c in columns])
+    renamed = changes.select(key, F.lit(True).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in columns])
     joined = df.join(renamed, key, "left")
-    out = [F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
+    new = lambda c: F.when(F.col("__changed"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c)
+    out = [new(c) if c in columns else F.col(c) for c in df.columns]
     return joined.select(*out)
 
 

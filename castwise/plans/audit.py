@@ -48,3 +48,8 @@ def unknown_statuses(content: DataFrame) -> DataFrame:
     """Rows whose status is none of the life-cycle values."""
     bad = F.col("status").isNull() | ~F.col("status").isin(*P.CONTENT_STATUSES)
     return content.filter(bad).groupBy("status").agg(F.count("*").alias("rows"))
+
+
+def missing(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` that are expected and not stored."""
+    return expected.select(key).distinct().join(stored.select(key), key, "left_anti")

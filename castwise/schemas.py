@@ -52,8 +52,9 @@ TABLES = {
     ),
 }
 
-# Columns that partition a stored table, where its queries filter by them.
-PARTITIONS = {"content": ("status",), "analytics": ("platform",), "agent_runs": ("agent",)}
+# Columns that partition a stored table. None of them changes once a row is stored: updates rewrite
+# whole partitions, and a row that moved to another one would leave its old copy behind.
+PARTITIONS = {"content": ("category",), "analytics": ("platform",), "agent_runs": ("agent",)}
 
 REVIEW_RECORD = T.StructType([
     T.StructField("run_id", _S), T.StructField("status", _S), T.StructField("created_at", _S),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,6 @@ RUNTIME_CONFS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -46,25 +46,51 @@ def local_session(cores: int | str = 8, app: str = "castwise", **confs: str) ->
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (unit tests, a laptop) gets a folder of
-    its own; the choice is stored so that later calls use the same one.
+    Only a session on one machine without that setting (unit tests, a laptop) gets a
+    folder of its own; the choice is stored so that later calls use the same one. On
+    a cluster a local folder would be a different one on every machine: an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext.getCheckpointDir():
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         found = tempfile.mkdtemp(prefix="castwise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one intermediate feeds several joins: it is computed a single
-    time and survives the loss of the executors that produced it.
+    time and survives the loss of the executors that produced it. The folders
+    stay until ``clear_staged``, as the frames that read them may be lazy.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/castwise/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession, keep: int = 0) -> int:
+    """Empty the staged folders made since the first ``keep`` of them; call it when a job's results are written.
+
+    Returns how many were emptied. ``len(staged_folders())`` at the start of a job is its ``keep``.
+    """
+    done = _STAGED[keep:]
+    for path in done:
+        # the writer removes what was there, on any file system, and leaves an empty table
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+    del _STAGED[keep:]
+    return len(done)
+
+
+def staged_folders() -> list[str]:
+    return list(_STAGED)

@@ -14,20 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` over all cores where its table is a single file, unchanged where it is a folder of files.
-
-    A single small file may hold one row group, which is one task however many cores
-    there are. Tables of any size are folders and keep the partitions of their scan.
-    """
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    if status.isFile() and status.getLen() < 256 * 1024 * 1024:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
-
-
 def json_documents(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFrame:
     """One row per JSON file, with its ``path``."""
     rows = spark.read.schema(schema).option("multiLine", True).json(glob)

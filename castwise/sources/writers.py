@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.operators.joins import insert_if_absent
+from castwise.operators.joins import insert_if_absent, keyed_update
+from castwise.session import staged
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, partitions: Sequence[str] = ()) -> None:
@@ -36,6 +37,23 @@ def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> N
     )
 
 
+def update_rows(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, columns: Sequence[str], partitions: Sequence[str]
+) -> None:
+    """Replace ``columns`` of the stored rows that ``changes`` names; only their partitions are rewritten.
+
+    ``columns`` must not partition the table: a row would be written to its new place and stay in the old one.
+    """
+    moved = sorted(set(columns) & set(partitions))
+    if moved:
+        raise ValueError(f"{moved} partition the table and cannot be updated in place")
+    stored = spark.read.parquet(path)
+    touched = stored.join(changes.select(key), key, "left_semi").select(*partitions).distinct()
+    rows = stored.join(touched, list(partitions), "left_semi").select(*stored.columns)
+    # read and written are the same folder, so the new rows are finished before the old ones go
+    replace_partitions(staged(keyed_update(rows, changes, key, columns), "update"), path, partitions)
+
+
 def insert_absent(
     existing: DataFrame, new: DataFrame, key: str, path: str, batch_id: str, partitions: Sequence[str] = ()
 ) -> None:
@@ -46,6 +64,11 @@ def insert_absent(
     append_batch(insert_if_absent(existing, new, key), path, batch_id, partitions)
 
 
+def documents(rows: DataFrame, path: str, key: str, value: str = "value") -> None:
+    """One file per row below ``<key>=<...>``: for hand-sized exports such as review bundles, not for tables."""
+    rows.select(key, value).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def json_report(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     """Nested rows as JSON lines, one folder per partition value."""
     df.write.mode("overwrite").partitionBy(*partitions).json(path)
@@ -56,12 +79,24 @@ def single_document(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
-def caption_files(cues: DataFrame, path: str) -> None:
-    """Subtitle text per run: ``run_id=<id>/part-*.txt``, in cue order within and across the parts.
+def text_table(lines: DataFrame, path: str, order: str, line: str, buckets: int = 64) -> None:
+    """All runs' texts as one table (run_id, text) in ``buckets`` folders by hash, however many runs there are.
+
+    A run's lines are put in order and joined inside its row.
+    """
+    texts = lines.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("t"))
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
+    rows = texts.select("run_id", F.array_join(F.transform("t", lambda x: x["l"]), "\n").alias("text"), bucket.alias("bucket"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def caption_files(cues: DataFrame, path: str, runs: Sequence[object]) -> None:
+    """Subtitle text of the given runs: ``run_id=<id>/part-*.txt``, in cue order within and across the parts.
 
-    Rows are range-partitioned by (run_id, cue), so a very long run is written by
-    several tasks and its parts, taken by name, are the file.
+    An export of a few runs, one folder each; ``text_table`` keeps all. Rows are range-partitioned by
+    (run_id, cue), so a very long run is written by several tasks and its parts, taken by name, are the file.
     """
+    cues = cues.filter(F.col("run_id").isin(*runs))
     ordered = cues.select("run_id", "cue", "cue_text").repartitionByRange("run_id", "cue").sortWithinPartitions("run_id", "cue")
     ordered.select("run_id", "cue_text").write.mode("overwrite").partitionBy("run_id").text(path)
 

@@ -9,8 +9,6 @@ from castwise.catalog.base import half_up, query, table, view
 from castwise.catalog.selections import SIGNALS, _hits, _strip
 from castwise.functions import clock, scores, text
 from castwise.plans import documentary, performance, quality, timeline
-from castwise.session import staged
-from castwise.sources.readers import spread
 
 BEATS = {"setup": ("the ", "elle", "ich"), "conflict": ("but", "ung"), "turn": ("then", "tion"), "lesson": ("us", "que")}
 EMOTION = ("her", "that", "and", "der", "elle", "con")
@@ -22,12 +20,8 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def _array(words) -> str:
-    return "array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
-
-
 def _docs(spark, folder):
-    return spread(table(spark, folder, "documents"), folder, "documents")
+    return table(spark, folder, "documents")
 
 
 @query("text_profile", r"""
@@ -52,7 +46,7 @@ def text_profile(spark, folder):
       case when length(text) <= 90 then text else regexp_replace(left(text, 89), '\s+$', '') || '…' end as fitted,
       coalesce(nullif(array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 4)[1:6], ', '), ''),
                'abstract concept') as hint,
-      array_to_string(list_transform(regexp_extract_all(lower(array_to_string(ws[1:4], ' ')), '\p{L}+|\P{L}+'),
+      array_to_string(list_transform(regexp_extract_all(lower(array_to_string(ws, ' ')), '\p{L}+|\P{L}+'),
         lambda r: replace(upper(left(r, 1)), 'ẞ', 'SS') || substr(r, 2)), '') as titled
     from w
 """)
@@ -61,7 +55,7 @@ def short_labels(spark, folder):
     return _docs(spark, folder).select(
         "doc_id", text.overlay(body).alias("overlay"), text.headline(body).alias("headline"),
         text.fit(body, 90).alias("fitted"), text.visual_hint(body).alias("hint"),
-        text.title_case(F.array_join(F.slice(text.words(body), 1, 4), " ")).alias("titled"))
+        text.title_case(F.array_join(text.words(body), " ")).alias("titled"))
 
 
 @query("keywords", r"""
@@ -165,14 +159,18 @@ def prompt_table(spark, folder):
         text.marked_prompt("other", {"topic": topic, "size": F.col("n_chars")}).alias("bare"))
 
 
+def _wording(template: str) -> str:
+    """DuckDB text of a fixed sentence with the topic filled in."""
+    return "'" + template.replace("'", "''").replace("{topic}", "' || topic || '") + "'"
+
+
 @query("documentary_script", r"""
     with d as (select doc_id as id, source as topic, case when doc_id % 3 = 0 then '' else 'One decision, ' || lang end as hook,
-                 ['Origins', 'The Turning Point', 'The Consequences', 'What It Means Today'][1:cast(doc_id % 4 + 1 as integer)] as names, text from documents),
-    e as (select *, case when hook <> '' then hook || chr(10) || chr(10) else '' end || 'This is the story of ' || topic
-        || '. To understand it, we have to look past the familiar version and follow the threads that actually connect the events, the people, and the choices that shaped what came next.' as intro,
-      'So what does ' || topic || ' leave us with? Not just a sequence of events, but a pattern — one that still echoes in how we live, decide, and remember. That is the real reason this story matters.' as ending,
+                 ['Origins', 'The Turning Point', 'The Consequences', 'What It Means Today'][1:cast(doc_id % 4 + 1 as integer)] as names, text, lang from documents),
+    e as (select *, case when hook <> '' then hook || chr(10) || chr(10) else '' end || """ + _wording(P.INTRO_TEXT) + r""" as intro,
+      """ + _wording(P.ENDING_TEXT) + r""" as ending,
       list_transform(names, lambda n, i: '[CHAPTER: ' || n || ']' || chr(10) || case when i = 1 then text else
-        'In this part of the story of ' || topic || ', we turn to ' || lower(n) || '. What looked simple on the surface hid deeper forces at work, and the closer we look, the more the familiar account starts to come apart. The details that follow reframe everything we thought we understood — and set the stage for what comes next.' end) as blocks from d),
+        lang || ' ' || lower(n) end) as blocks from d),
     f as (select *, array_to_string(list_concat(list_concat(['[INTRODUCTION]' || chr(10) || intro], blocks),
         ['[CONCLUSION]' || chr(10) || ending, '[CTA]' || chr(10) || 'Follow.']), chr(10) || chr(10)) as full_text from e)
     select id, full_text, len(regexp_extract_all(full_text, '\S+')) as word_count, 'documentary-' || len(names) || '-chapters' as structure from f
@@ -184,7 +182,7 @@ def documentary_script(spark, folder):
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("One decision, "), "lang")).alias("hook"),
         F.transform(F.slice(names, F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), lambda n, i: F.struct(
             n.alias("name"),
-            F.when(i == 0, F.col("text")).otherwise(documentary.chapter_text(F.col("source"), n)).alias("body"),
+            F.when(i == 0, F.col("text")).otherwise(F.concat("lang", F.lit(" "), F.lower(n))).alias("body"),
         )).alias("chapters"))
     return documentary.assemble(rows, "Follow.").select("id", "full_text", "word_count", "structure")
 
@@ -328,11 +326,15 @@ _SCENES = rf"""
 """
 
 
-def _scenes(spark, folder):
-    docs = _docs(spark, folder).select(
+def _scripts(spark, folder):
+    return _docs(spark, folder).select(
         F.col("doc_id").alias("run_id"), F.col("source").alias("title"),
-        F.concat("text", F.lit(" [BODY] "), "lang", F.lit(". End of it!")).alias("script"))
-    return timeline.scene_plan(docs)
+        F.concat("text", F.lit(" [BODY] "), "lang", F.lit(". End of it!")).alias("script"),
+        text.reading_seconds(text.word_count(F.col("text"))).alias("narration_seconds"))
+
+
+def _scenes(spark, folder):
+    return timeline.scene_plan(_scripts(spark, folder))
 
 
 @query("scene_plan", _SCENES + r"""
@@ -368,15 +370,12 @@ _RESCALED = _SCENES + r""",
 
 
 def _rescaled(spark, folder):
-    spoken = _docs(spark, folder).select(
-        F.col("doc_id").alias("run_id"), text.reading_seconds(text.word_count(F.col("text"))).alias("narration_seconds"))
-    # the scene table is a stage of its own: the totals and the scenes themselves are read from it
-    return timeline.rescale(staged(_scenes(spark, folder).select("run_id", "idx", "narration", "duration"), "scenes"), spoken)
+    return timeline.rescale_rows(timeline.scene_rows(_scripts(spark, folder)))
 
 
 @query("scene_rescale", _RESCALED + "select run_id, idx, duration from res")
 def scene_rescale(spark, folder):
-    return _rescaled(spark, folder).select("run_id", "idx", "duration")
+    return _rescaled(spark, folder).select("run_id", F.explode("scenes").alias("s")).select("run_id", "s.idx", "s.duration")
 
 
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
@@ -391,9 +390,9 @@ _CUES = _RESCALED + f""",
 
 
 def _cues(spark, folder):
-    scenes = staged(_rescaled(spark, folder), "rescaled-scenes")
-    gaps = scenes.withColumn("narration", F.when(F.col("idx") % 7 == 3, " ").otherwise(F.col("narration")))
-    return timeline.caption_cues(gaps)
+    gaps = F.transform("scenes", lambda s: F.struct(
+        s["idx"].alias("idx"), F.when(s["idx"] % 7 == 3, " ").otherwise(s["narration"]).alias("narration"), s["duration"].alias("duration")))
+    return timeline.caption_rows(_rescaled(spark, folder).withColumn("scenes", gaps))
 
 
 @query("caption_cues", _CUES + "select * from cu")
@@ -410,7 +409,7 @@ def caption_file(spark, folder):
 
 @query("scene_images", _SCENES + """,
     pool as (select doc_id as run_id, list_transform(range(0, doc_id % 4), lambda i: 'img-' || doc_id || '-' || i) as images from documents)
-    select run_id, idx, images[idx % len(images) + 1] as image from plan join pool using (run_id) where len(images) > 0
+    select run_id, idx, case when len(images) > 0 then images[idx % len(images) + 1] end as image from plan left join pool using (run_id)
 """)
 def scene_images(spark, folder):
     n = (F.col("doc_id") % 4).cast("int")

@@ -9,8 +9,8 @@ from castwise.catalog.base import joined, query, table, view
 from castwise.catalog.listings import _TOTAL
 from castwise.functions import scores, text
 from castwise.operators.ranking import fill_if_short, flag_best
+from castwise.operators.sequences import positions
 from castwise.operators.similarity import closest_short_text
-from castwise.sources.readers import spread
 from castwise.plans import candidates, documentary, facts, topics
 
 # The test prose is invented and has none of the real marker words, so these
@@ -27,7 +27,7 @@ def _hits(column: str, words) -> str:
 
 
 def _conversations(spark, folder):
-    return spread(table(spark, folder, "conversations"), folder, "conversations")
+    return table(spark, folder, "conversations")
 
 
 @query("topic_corpus", """
@@ -81,17 +81,17 @@ _RATIO = """
 
 @query("title_similarity", """
     with recursive names as (select distinct lower(p_name) as n from part),
-    pool as (select n, (select count(*) from part where lower(p_name) = n and p_size <= 20) as published from names),
-    todo(a, b) as (select p.n, q.n from pool p, pool q where q.published > 0),
+    todo(a, b) as (select p.n, q.n from names p, names q where p.n <> q.n),
 """ + _RATIO + """
     select p_partkey, round(m, 6) as max_similarity, m >= 0.8 as is_duplicate
-    from (select p_partkey, coalesce((select max(r) from ratios where a = lower(p_name) and r >= 0.8), 0.0) as m
-          from part where p_size > 40)
+    from (select p_partkey, case when copies > 1 then 1.0 else coalesce((select max(r) from ratios where a = lower(p_name) and r >= 0.8), 0.0) end as m
+          from (select *, count(*) over (partition by lower(p_name)) as copies from part))
 """)
 def title_similarity(spark, folder):
+    """Every title against all others."""
     part = table(spark, folder, "part")
-    new, old = part.filter("p_size > 40"), part.filter("p_size <= 20")
-    found = closest_short_text(new, old, "p_partkey", "p_name", "p_name")
+    old = part.select(F.col("p_partkey").alias("existing"), F.col("p_name").alias("title"))
+    found = closest_short_text(part, old, "p_partkey", "p_name", "title", existing_key="existing")
     return found.withColumn("max_similarity", F.round("max_similarity", 6))
 
 
@@ -99,7 +99,8 @@ def title_similarity(spark, folder):
     with recursive scored as (select *, {_TOTAL} as total from topics_v where status = 'candidate'),
     few as (select * from (select *, row_number() over (partition by category order by total desc, topic_id) as rn
                            from scored) where rn <= 40),
-    corpus as (select distinct topic from content_v where status <> 'quality_failed' and topic not like '%ring'),
+    corpus as (select distinct topic from content_v where topic <> '' union
+               select distinct case when angle = '' then topic else angle end from topics_v where status in ('used', 'approved')),
     todo(a, b) as (select distinct few.angle, corpus.topic from few, corpus where few.angle <> ''),
 """ + _RATIO + """,
     judged as (
@@ -115,8 +116,8 @@ def title_similarity(spark, folder):
 """, ["topics_v", "content_v"])
 def topic_opportunity(spark, folder):
     backlog = view(spark, folder, "topics_v").filter(F.col("status") == "candidate")
-    produced = view(spark, folder, "content_v").filter((F.col("status") != "quality_failed") & ~F.col("topic").endswith("ring"))
-    return topics.opportunities(backlog, produced.select("topic"), top_k=40, min_total=60)
+    existing = topics.corpus(view(spark, folder, "content_v"), view(spark, folder, "topics_v"))
+    return topics.opportunities(backlog, existing, top_k=40, min_total=60)
 
 
 @query("opportunity_gap", """
@@ -220,13 +221,14 @@ _HOOK_REPLY = """'Hook ' || turn || ': "' || replace(text, chr(10), ' ') || '"'
 def _hook_lines(spark, folder):
     rows = _conversations(spark, folder).withColumn("reply", F.expr(_HOOK_REPLY.replace("chr(10)", "'\\n'")))
     lines = candidates.hook_lines(rows, "conv_id", "turn", "reply")
-    return lines.withColumn("position", F.col("turn") * 1000 + F.col("line")).drop("turn", "line")
+    return positions(lines, ["conv_id"], [F.col("turn"), F.col("line"), F.col("hook")]).drop("turn", "line")
 
 
 _HOOKS = f"""
     with l as (select conv_id, turn, string_split(regexp_replace({_HOOK_REPLY}, '\\r\\n|\\r', chr(10), 'g'), chr(10)) as ls from conversations),
     raw as (select conv_id, turn, unnest(ls) as raw, unnest(range(0, len(ls))) as line from l),
-    h as (select conv_id, turn * 1000 + line as position, {_cleaned('raw', True)} as hook from raw),
+    hl as (select conv_id, turn, line, {_cleaned('raw', True)} as hook from raw),
+    h as (select conv_id, hook, row_number() over (partition by conv_id order by turn, line, hook) as position from hl where length(hook) > 15),
     d as (
       select *, least(100, 60 + 12 * ({_hits('lower(hook)', SIGNALS['curiosity'])}))::double as curiosity,
         least(100, 50 + 12 * ({_hits('lower(hook)', SIGNALS['emotion'])}))::double as emotion,
@@ -251,14 +253,14 @@ def hook_rank(spark, folder):
 
 @query("hook_padding", _HOOKS + """,
     n as (select conv_id, count(h.hook) as n, max(position) as last
-          from (select distinct conv_id from conversations) c left join (select * from h where length(hook) > 60) h using (conv_id) group by 1)
-    select conv_id, position, hook from h where length(hook) > 60
+          from (select distinct conv_id from conversations) c left join h using (conv_id) group by 1)
+    select conv_id, position, hook from h
     union all
     select conv_id, coalesce(last, -1) + i, 'There is something about conversation ' || conv_id || ' almost no one notices.'
     from n, range(1, 11) r(i) where i <= 10 - n
 """)
 def hook_padding(spark, folder):
-    hooks = _hook_lines(spark, folder).filter(F.length("hook") > 60)
+    hooks = _hook_lines(spark, folder)
     items = table(spark, folder, "conversations").select("conv_id").distinct().withColumn(
         "topic", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
     return candidates.pad_hooks(hooks, items, "conv_id", "position")
@@ -266,23 +268,31 @@ def hook_padding(spark, folder):
 
 _TITLES = f"""
     with raw as (select conv_id, turn, string_split_regex(text, '[.!?]+') as ls from conversations),
-    l as (select conv_id, turn * 100000 + unnest(range(0, len(ls))) as position, (turn % 4 + 1) || '. "' || {_strip('unnest(ls)')} || '"' as raw from raw),
-    c as (select conv_id, position, {_cleaned('raw', False)} as title from l where length({_strip('raw')}) > 8),
+    l as (select conv_id, turn, unnest(range(0, len(ls))) as i, (turn % 4 + 1) || '. "' || {_strip('unnest(ls)')} || '"' as raw from raw),
+    n as (select *, row_number() over (partition by conv_id order by turn, i, raw) as position from l),
+    c as (select conv_id, position, {_cleaned('raw', False)} as title from n where length({_strip('raw')}) > 8),
     s as (select *, ({_hits('lower(title)', MARKERS)}) * 10 - abs(length(title) - 55) * 0.2::double as score from c where title <> '')
 """
 
 
-@query("title_best", _TITLES + """
-    select conv_id, position, title, round(score, 1) as score from (
-      select *, row_number() over (partition by conv_id order by round(score, 4) desc, position) as rn from s) where rn = 1
+@query("title_best", _TITLES + f"""
+    , b as (select conv_id, position, title, round(score, 1) as score from (
+      select *, row_number() over (partition by conv_id order by round(score, 4) desc, position) as rn from s) where rn = 1),
+    sp as (select distinct conv_id, 'Conversation ' || conv_id as spare from conversations)
+    select conv_id, position, coalesce(title, spare) as title,
+           coalesce(score, round(({_hits('lower(spare)', MARKERS)}) * 10 - abs(length(spare) - 55) * 0.2::double, 1)) as score
+    from sp left join b using (conv_id)
 """)
 def title_best(spark, folder):
     rows = _conversations(spark, folder).select(
         "conv_id", "turn", F.posexplode(F.split("text", "[.!?]+")).alias("i", "piece"))
     lines = rows.select(
-        "conv_id", (F.col("turn") * 100000 + F.col("i")).alias("position"),
+        "conv_id", "turn", "i",
         F.concat((F.col("turn") % 4 + 1).cast("string"), F.lit('. "'), text.strip(F.col("piece")), F.lit('"')).alias("raw"))
-    return candidates.best_titles(lines, "conv_id", "position", "raw", MARKERS)
+    numbered = positions(lines, ["conv_id"], [F.col("turn"), F.col("i"), F.col("raw")])
+    spare = table(spark, folder, "conversations").select("conv_id").distinct().withColumn(
+        "title", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")))
+    return candidates.best_titles(numbered, "conv_id", "position", "raw", MARKERS, fallback=spare)
 
 
 @query("thumbnail_variants", """
@@ -358,12 +368,12 @@ def dossier_rollup(spark, folder):
 
 @query("claim_block", """
     with r as (select *, row_number() over (partition by dossier_id order by pos, claim, detail, confidence, license, source_name) as n
-               from facts_v where license <> 'none')
+               from facts_v)
     select o_orderkey as dossier_id, coalesce(string_agg('- ' || claim, chr(10) order by n), '- (general knowledge)') as lines
     from orders left join r on r.dossier_id = o_orderkey and n <= 8 group by 1
 """, ["facts_v"])
 def claim_block(spark, folder):
-    rows = view(spark, folder, "facts_v").filter(F.col("license") != "none")
+    rows = view(spark, folder, "facts_v")
     dossiers = table(spark, folder, "orders").select(F.col("o_orderkey").alias("dossier_id"))
     return facts.claim_block(rows, dossiers, _fact_order(), 8, "- (general knowledge)")
 
@@ -380,15 +390,15 @@ def extract_facts(spark, folder):
 
 
 @query("note_facts", r"""
-    with p as (select conv_id * 1000 + turn as id, list_transform(list_filter(string_split_regex(text, '\r\n|\r|\n'),
+    with p as (select conv_id, turn, list_transform(list_filter(string_split_regex(text, '\r\n|\r|\n'),
                  lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''),
                  lambda s: regexp_replace(trim(s, '-• '), '^\s+|\s+$', '', 'g'))[1:5] as ls from conversations),
-    q as (select id as dossier_id, cast(unnest(range(0, len(ls))) as integer) as pos, unnest(ls) as claim from p)
+    q as (select conv_id, turn, cast(unnest(range(0, len(ls))) as integer) as pos, unnest(ls) as claim from p)
     select *, ['fact', 'event', 'person', 'stat', 'date'][pos % 5 + 1] as information_type from q
 """)
 def note_facts(spark, folder):
-    notes = _conversations(spark, folder).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return facts.facts_from_notes(notes, "id", "text").select("dossier_id", "pos", "claim", "information_type")
+    notes = _conversations(spark, folder).withColumn("id", F.struct("conv_id", "turn"))
+    return facts.facts_from_notes(notes, "id", "text").select("dossier_id.conv_id", "dossier_id.turn", "pos", "claim", "information_type")
 
 
 @query("fill_if_short", """
@@ -425,8 +435,6 @@ def license_filter(spark, folder):
 """, ["facts_v"])
 def best_fact(spark, folder):
     """One flag per dossier, whatever number of facts it has."""
-    from castwise.operators.sequences import positions
-
     numbered = positions(view(spark, folder, "facts_v"), ["dossier_id"], _fact_order(), "pos_id")
     rows = numbered.select("dossier_id", "pos_id", "confidence")
     return flag_best(rows, ["dossier_id"], "pos_id", [F.col("confidence").desc(), F.col("pos_id")])

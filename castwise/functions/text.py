@@ -136,12 +136,17 @@ def extract_sentences(c: Column, min_length: int = 30, limit: int = 6) -> Column
 def sections(c: Column) -> Column:
     """Map header -> text of a ``[HEADER]text`` script; the last of equal headers wins.
 
-    Without any header the whole text is the BODY. Needs
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (see ``session.RUNTIME_CONFS``).
+    Without any header the whole text is the BODY.
     """
     headers = F.regexp_extract_all(c, F.lit(r"\[([A-Z]+)\]"), F.lit(1))
     bodies = F.transform(F.slice(F.split(c, r"\[[A-Z]+\]"), 2, 1_000_000_000), strip)
-    return F.when(F.size(headers) > 0, F.map_from_arrays(headers, bodies)).otherwise(
+    # read from the end, so the first entry of a header is its last text
+    none = F.array().cast("array<struct<header:string,body:string>>")
+    kept = F.aggregate(
+        F.reverse(F.zip_with(headers, bodies, lambda h, b: F.struct(h.alias("header"), b.alias("body")))), none,
+        lambda acc, x: F.when(F.exists(acc, lambda y: y["header"] == x["header"]), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.when(F.size(headers) > 0, F.map_from_entries(kept)).otherwise(
         F.create_map(F.lit("BODY"), strip(c))
     )
 

@@ -38,6 +38,7 @@ def flag_best(df: DataFrame, item: Sequence[str], position: str, order: Sequence
 
     The winners are found first and joined back on (item, position), a key without
     hot values even where one item holds most rows. (item, position) must be unique.
+    ``df`` is read twice: store it first if it is costly.
     """
     on = [*item, position]
     winners = top_per_group(df, item, order, 1).select(*on, F.lit(True).alias(flag))

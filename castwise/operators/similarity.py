@@ -72,9 +72,13 @@ def closest_short_text(
     candidate_text: str,
     existing_text: str,
     threshold: float = 0.8,
+    existing_key: str | None = None,
 ) -> DataFrame:
     """(key, max_similarity, is_duplicate) by character ratio, for titles, topics and hooks.
 
+    With ``existing_key`` a candidate is not compared with the existing row of its own key:
+    only a copy under another key is a copy. Without it the tables have no rows in common.
+
     With M matched characters in k stretches, two texts have at least M - k character
     pairs in common, and k - 1 is at most the number of unmatched characters. A ratio
     at the threshold therefore implies a known minimum of common pairs, so texts are
@@ -86,19 +90,21 @@ def closest_short_text(
     # texts below this length can reach the threshold without any common pair
     short = (2 - t) / (1.5 * t - 1) if t > 2 / 3 else math.inf
     cand = candidates.select(key, X.normalise(F.coalesce(F.col(candidate_text), F.lit(""))).alias("a"))
+    own = F.col(existing_key) if existing_key else F.lit(None).cast("string")
     corpus = staged(
-        existing.select(X.normalise(F.col(existing_text)).alias("text")).filter(F.col("text").isNotNull()).distinct(),
+        existing.select(X.normalise(F.col(existing_text)).alias("text"), own.alias("own")).filter(F.col("text").isNotNull())
+        .groupBy("text").agg(F.count("*").alias("copies"), F.min("own").alias("own")),
         "corpus-texts",
     )
-    # texts present on both sides need no comparison
-    texts = staged(
-        cand.select(F.col("a").alias("text")).distinct()
-        .join(corpus.withColumn("known", F.lit(True)), "text", "left"),
+    # a text that is there under another key needs no comparison
+    only_self = (F.col("copies") == 1) & (F.col("own") == F.col(key))
+    judged = staged(
+        cand.join(corpus, F.col("a") == F.col("text"), "left")
+        .select(key, "a", (F.col("copies").isNotNull() & ~F.coalesce(only_self, F.lit(False))).alias("copied")),
         "candidate-texts",
     )
-    equal = texts.filter("known").select("text", F.lit(1.0).alias("ratio"))
     both = (
-        texts.filter(F.col("known").isNull()).select("text", F.lit(True).alias("is_candidate"))
+        judged.filter(~F.col("copied")).select(F.col("a").alias("text")).distinct().withColumn("is_candidate", F.lit(True))
         .unionByName(corpus.select("text", F.lit(False).alias("is_candidate")))
         .filter(F.col("text") != "")
         .withColumn("n", F.length("text"))
@@ -133,14 +139,13 @@ def closest_short_text(
     in_band = (F.col("nb") >= F.col("na") * (t / (2 - t)) - 1e-9) & (F.col("na") >= F.col("nb") * (t / (2 - t)) - 1e-9)
     # a pair meets at its first common token only and goes straight on to the maximum: pairs are not shuffled
     found = (
-        left.join(_by_merge(right), "gram").filter(in_band & _first_meeting("pa", "ia", "pb", "ib"))
+        left.join(_by_merge(right), "gram").filter((F.col("a") != F.col("b")) & in_band & _first_meeting("pa", "ia", "pb", "ib"))
         .withColumn("ratio", _ratio_udf(t)("a", "b"))
         .filter(F.col("ratio") >= t)
         .groupBy(F.col("a").alias("text")).agg(F.max("ratio").alias("ratio"))
     )
-    best = equal.unionByName(found)
-    joined = cand.join(best, cand["a"] == best["text"], "left")
-    sim = F.coalesce("ratio", F.lit(0.0))
+    joined = judged.join(found, judged["a"] == found["text"], "left")
+    sim = F.when(F.col("copied"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0)))
     return joined.select(key, sim.alias("max_similarity"), (sim >= t).alias("is_duplicate"))
 
 
@@ -293,86 +298,90 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(norm == 0, 1.0).otherwise(norm)
 
 
+def lsh_shape(n: int, threshold: float, recall: float, bucket: int = 256) -> tuple[int, int]:
+    """Hyperplanes per table and tables, so that unrelated vectors share buckets of about ``bucket`` and a pair
+    at the threshold shares one with probability ``recall`` (closer pairs: more).
+
+    Buckets keep their size as ``n`` grows; the tables grow as a small power of it (a third for 0.8).
+    """
+    agree = 1 - math.acos(threshold) / math.pi
+    bits = min(30, max(1, math.ceil(math.log2(max(2, n / bucket)))))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(agree**bits, 1 - 1e-12))))
+
+
+def vector_buckets(units: DataFrame, width: int, bits: int, tables: int, seed: int = 20240131) -> DataFrame:
+    """``(node, u, table, bucket)``: one row per unit vector and table; the bucket is the side of every hyperplane."""
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                side = (np.stack(pdf["u"].to_numpy()) @ planes.T > 0).reshape(len(pdf), tables, bits)
+                yield pd.DataFrame({"node": pdf["node"], "u": pdf["u"], "buckets": list((side * weights).sum(axis=2))})
+
+    placed = units.select("node", "u").mapInPandas(place, "node long, u array<double>, buckets array<long>")
+    return placed.select("node", "u", F.posexplode("buckets").alias("table", "bucket"))
+
+
 def closest_vector(
     vectors: DataFrame,
     threshold: float = 0.8,
-    pivots: int = 32,
+    recall: float = 0.9999,
     block: int = 2048,
+    key: str = "vec_id",
 ) -> DataFrame:
-    """(vec_id, max_similarity, is_duplicate) by cosine, every vector against all others.
-
-    The angle between vectors obeys the triangle inequality. Vectors are put into the
-    cell of their nearest pivot (a fixed, small number of the vectors themselves); a
-    vector is sent to a cell only if some vector of that cell can lie within the
-    threshold angle, judged by the cell's own distances to its pivot. Cells are cut
-    into blocks of about ``block`` vectors, so a crowded cell becomes many tasks, and
-    a task multiplies two blocks and reports one number per vector, never pairs.
+    """(key, max_similarity, is_duplicate) by cosine, every vector against all others.
+
+    Vectors that fall on the same sides of random hyperplanes meet and are compared exactly; so many
+    tables of hyperplanes are made that a pair at the threshold meets with probability ``recall``
+    in one of them, closer pairs almost surely. What is reported is always a true similarity. A
+    crowded bucket is cut into blocks that become tasks of their own, and a task reports one number
+    per vector, never pairs. Vectors that are NULL, zero or not finite have similarity 0.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    reach = math.acos(threshold) + 1e-6
     vec = F.transform("embedding", lambda x: x.cast("double"))
-    raw = vectors.select("vec_id", vec.alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = staged(
-        raw.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("norm", norm)
-        .select("rep", "copies", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).alias("u"), "v"),
+    raw = vectors.select(F.col(key).alias("key"), vec.alias("v")).withColumn("v", F.when(F.coalesce(finite, F.lit(False)), F.col("v")))
+    raw = raw.withColumn("v", F.when(norm > 0, F.col("v"))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    rows = staged(raw, "vectors")
+    same = ["h1", "h2"]  # equal vectors; joins and groups go by these, not by the arrays
+    units = staged(
+        rows.filter(F.col("v").isNotNull()).groupBy(*same).agg(F.count("*").alias("copies"), F.first("v").alias("v"))
+        .select(*same, "copies", F.monotonically_increasing_id().alias("node"), F.transform("v", lambda x: x / norm).alias("u")),
         "unit-vectors",
     )
-    usable = unit.filter(F.col("u").isNotNull())
-    # at most ``pivots`` vectors reach the driver
-    picked = [r["u"] for r in usable.select("rep", "u").orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()]
-    if not picked:
-        return vectors.select("vec_id", F.lit(0.0).alias("max_similarity"), F.lit(False).alias("is_duplicate"))
-    centre = np.array(picked)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                angles = np.arccos(np.clip(np.stack(pdf["u"].to_numpy()) @ centre.T, -1.0, 1.0))
-                yield pdf.assign(cell=angles.argmin(axis=1), angles=list(angles))
-
-    placed = staged(
-        usable.select("rep", "u").mapInPandas(assign, "rep long, u array<double>, cell int, angles array<double>"),
-        "placed-vectors",
-    )
-    # one row per pivot
-    own = F.get("angles", F.col("cell"))
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi")).collect()}
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("cell"), F.lit(r["lo"] - reach).alias("lo"), F.lit(r["hi"] + reach).alias("hi"))
-        for c, r in sorted(stats.items())
-    ])
-    near = lambda s: F.get(F.col("angles"), s["cell"]).between(s["lo"], s["hi"])
-    sent = placed.select("rep", "u", F.explode(F.transform(F.filter(cells, near), lambda s: s["cell"])).alias("cell"))
-    visitors = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-    # both sides of a cell are cut by hash: "part" of its members, "slice" of its visitors
-    def pieces(counts: dict[int, int]) -> Column:
-        cuts = [x for c in sorted(stats) for x in (F.lit(c), F.lit(math.ceil(counts.get(c, 1) / block)))]
-        return F.element_at(F.create_map(*cuts), F.col("cell"))
-
-    parts, slices = pieces({c: r["n"] for c, r in stats.items()}), pieces(visitors)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    hashed = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n.cast("long")).cast("int")
-    targets = sent.select("rep", "u", "cell", hashed(1, slices).alias("slice"), spread(parts).alias("part"))
-    members = placed.select("rep", "u", "cell", hashed(2, parts).alias("part"), spread(slices).alias("slice"))
+    n, width = units.agg(F.count("*"), F.max(F.size("u"))).first()
+    if not n:
+        return rows.select(F.col("key").alias(key), F.lit(0.0).alias("max_similarity"), F.lit(False).alias("is_duplicate"))
+    bits, tables = lsh_shape(n, threshold, recall)
+    met = vector_buckets(units.filter(F.size("u") == width), width, bits, tables)
+    at = ["table", "bucket"]
+    sizes = met.groupBy(*at).agg(F.count("*").alias("m")).filter(F.col("m") > block).select(
+        *at, F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    cut = met.join(sizes, at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    targets = cut.select("node", "u", *at, own.alias("slice"), every.alias("part"))
+    members = cut.select(
+        F.col("node").alias("other"), F.col("u").alias("v"), F.col("table").alias("t"), F.col("bucket").alias("b"),
+        every.alias("s"), own.alias("p"))
 
     def block_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        sims = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-        sims[left["rep"].to_numpy()[:, None] == right["rep"].to_numpy()[None, :]] = -1.0
-        return pd.DataFrame({"rep": left["rep"].to_numpy(), "sim": sims.max(axis=1)})
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        sims = np.stack(left["u"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        sims[left["node"].to_numpy()[:, None] == right["other"].to_numpy()[None, :]] = -1.0
+        return pd.DataFrame({"node": left["node"].to_numpy(), "sim": sims.max(axis=1)})
 
-    on = ["cell", "part", "slice"]
     found = (
-        targets.groupBy(*on).cogroup(members.groupBy(*on)).applyInPandas(block_best, "rep long, sim double")
-        .filter(F.col("sim") >= threshold).groupBy("rep").agg(F.max("sim").alias("sim"))
+        targets.groupBy(*at, "slice", "part").cogroup(members.groupBy("t", "b", "s", "p")).applyInPandas(block_best, "node long, sim double")
+        .filter(F.col("sim") >= threshold).groupBy("node").agg(F.max("sim").alias("sim"))
     )
-    best = unit.join(found, "rep", "left").select(
-        "v", F.when((F.col("copies") > 1) & F.col("u").isNotNull(), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim"))
-    return raw.join(best, "v").select(
-        "vec_id", F.round("sim", 6).alias("max_similarity"), (F.col("sim") >= threshold).alias("is_duplicate"))
+    best = units.join(found, "node", "left").select(
+        *same, F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim"))
+    sim = F.round(F.coalesce("sim", F.lit(0.0)), 6)
+    return rows.join(best, same, "left").select(
+        F.col("key").alias(key), sim.alias("max_similarity"), (F.coalesce("sim", F.lit(0.0)) >= threshold).alias("is_duplicate"))

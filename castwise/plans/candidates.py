@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from castwise import params as P
 from castwise.functions import scores, text
 from castwise.operators.ranking import flag_best, top_per_group
+from castwise.session import staged
 
 
 def hook_lines(replies: DataFrame, item: str, position: str, body: str, min_length: int = 15) -> DataFrame:
@@ -48,8 +49,9 @@ def rank_hooks(
     dims = scores.hook_dimensions(F.col("hook"), signals, bases)
     with_dims = candidates.select(item, position, "hook", *[c.cast("double").alias(n) for n, c in dims.items()])
     named = {n: F.col(n) for n in dims}
+    # scored once: the winners are found in narrow stored rows and joined back on the key
     rated = with_dims.withColumn("total", scores.hook_total(named)).withColumn("hook_type", scores.hook_type(named))
-    return flag_best(rated, [item], position, [F.col("total").desc(), F.col(position)])
+    return flag_best(staged(rated, "hooks"), [item], position, [F.col("total").desc(), F.col(position)])
 
 
 def best_titles(
@@ -59,16 +61,25 @@ def best_titles(
     title: str,
     markers: Iterable[str] = P.TITLE_MARKERS,
     min_length: int = 8,
+    fallback: DataFrame | None = None,
 ) -> DataFrame:
-    """The best title per item. Lines of ``min_length`` characters or fewer and blank titles are no candidates."""
+    """The best title per item. Lines of ``min_length`` characters or fewer and blank titles are no candidates.
+
+    ``fallback`` has (item, title): an item without any candidate takes this one, so every item has a title.
+    """
     cleaned = (
         candidates.filter(F.length(text.strip(F.col(title))) > min_length)
         .select(item, position, text.clean_title(F.col(title)).alias("title"))
         .filter(F.col("title") != "")
         .withColumn("score", scores.title_score(F.col("title"), markers))
     )
-    best = top_per_group(cleaned, [item], [F.round("score", 4).desc(), F.col(position)], 1)
-    return best.withColumn("score", F.round("score", 1))
+    best = top_per_group(cleaned, [item], [F.round("score", 4).desc(), F.col(position)], 1).withColumn("score", F.round("score", 1))
+    if fallback is None:
+        return best
+    spare = fallback.select(item, F.col("title").alias("__spare"))
+    chosen = spare.join(best, item, "left")
+    score = F.coalesce("score", F.round(scores.title_score(F.col("__spare"), markers), 1))
+    return chosen.select(item, position, F.coalesce("title", "__spare").alias("title"), score.alias("score"))
 
 
 def thumbnail_variants(items: DataFrame, styles=P.THUMBNAIL_STYLES, variants: int = 3, max_words: int = 6) -> DataFrame:

@@ -14,11 +14,12 @@ from castwise.operators.ranking import first_occurrence, top_per_group
 SECTIONS = ("HOOK", "INTRODUCTION", "BODY", "ENDING", "CTA")
 
 
-def chapters(content: DataFrame, minimum: int = 4, maximum: int = 6, sample: int = 10,
+def chapters(content: DataFrame, categories: DataFrame | None = None, minimum: int = 4, maximum: int = 6, sample: int = 10,
              arc: Sequence[str] = P.DEFAULT_ARC) -> DataFrame:
     """Chapter names per category: its produced topics if there are enough distinct ones, else the default arc.
 
-    The first ``sample`` content rows of the category by id are looked at.
+    The first ``sample`` content rows of the category by id are looked at. ``categories`` names those that
+    are asked for (default: those with content); one without any content has the default arc.
     """
     few = top_per_group(content.select("category", "id", "topic"), ["category"], [F.col("id")], sample)
     names = first_occurrence(few, F.trim(F.lower("topic")), [F.col("id")], within=["category"])
@@ -27,7 +28,8 @@ def chapters(content: DataFrame, minimum: int = 4, maximum: int = 6, sample: int
         ["category"], [F.col("id")], sample, rank="n",
     )
     # at most ``sample`` names per category from here on
-    lists = few.select("category").distinct().join(
+    asked = few if categories is None else categories
+    lists = asked.select("category").distinct().join(
         related.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("n", "chapter"))).alias("r")),
         "category", "left",
     )
@@ -38,11 +40,6 @@ def chapters(content: DataFrame, minimum: int = 4, maximum: int = 6, sample: int
     return lists.select("category", F.posexplode(chosen).alias("chapter_no", "chapter"))
 
 
-def chapter_text(topic: Column, chapter: Column) -> Column:
-    """Stand-in narration for a chapter that has no text yet."""
-    return text.fill_template(P.CHAPTER_TEXT, {"topic": topic, "chapter": F.lower(chapter)})
-
-
 def assemble(documentaries: DataFrame, cta: str) -> DataFrame:
     """Full script of (id, topic, hook, chapters array<struct<name, body>>): introduction, chapters, conclusion, CTA.
 

@@ -7,12 +7,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from castwise import params as P
 from castwise.functions import scores, text
 from castwise.functions.clock import week_label
+from castwise.operators.joins import keyed_update
 from castwise.operators.ranking import top, top_per_group
-from castwise.session import staged
 
 EXACT = "decimal(38,4)"
 
@@ -90,11 +91,11 @@ def published_by_category(content: DataFrame, analytics: DataFrame) -> DataFrame
 
 def category_performance(content: DataFrame, analytics: DataFrame) -> DataFrame:
     """``published_by_category`` with the leading category flagged (equal means: the first name)."""
-    # a row per category, read twice below: stored, so that the analytics are read once
-    table = staged(published_by_category(content, analytics), "category-performance")
-    rated = table.filter(F.col("avg_retention").isNotNull())
-    leader = rated.select(F.min(F.struct(-F.col("avg_retention"), "category"))["category"].alias("c"))
-    return table.withColumn("is_leader", F.coalesce(F.col("category") == leader.scalar(), F.lit(False)))
+    table = published_by_category(content, analytics)
+    rank = F.when(F.col("avg_retention").isNotNull(), F.struct((-F.col("avg_retention")).alias("r"), F.col("category").alias("c")))
+    # a row per category is all that is left here
+    leader = F.min(rank).over(Window.partitionBy(F.lit(0)))["c"]
+    return table.withColumn("is_leader", F.coalesce(F.col("category") == leader, F.lit(False)))
 
 
 def strategy_report(content: DataFrame, analytics: DataFrame, as_of: date = P.REPORT_DATE) -> DataFrame:
@@ -233,3 +234,15 @@ def mix_deficit(content: DataFrame, mix: Mapping[str, float], window: int = 8) -
         .select("category", "target", "recent", F.round("deficit", 4).alias("deficit"),
                 (F.col("pos") == F.col("best")).alias("chosen"))
     )
+
+
+def score_memory(memory: DataFrame, analytics: DataFrame) -> DataFrame:
+    """``performance_score`` of each video's first memory row becomes its measured mean retention.
+
+    Videos without measurements keep their score; ``memory`` has (id, video_id, performance_score).
+    """
+    measured = analytics.groupBy("video_id").agg(
+        F.round(F.sum(F.col("retention").cast("decimal(18,4)")).cast("double") / F.count("retention"), 1).alias("performance_score"))
+    first = memory.groupBy("video_id").agg(F.min("id").alias("id"))
+    changes = first.join(measured.filter(F.col("performance_score").isNotNull()), "video_id").select("id", "performance_score")
+    return keyed_update(memory, changes, "id", ["performance_score"])

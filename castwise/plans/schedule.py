@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,8 +16,8 @@ def calendar(channels: DataFrame, rules: P.CalendarRules = P.CalendarRules()) ->
     """Slots of every channel (channel_id, start): date, format, category and sub-category.
 
     The order of categories and sub-categories depends on the number of slots only, so
-    it is worked out once per possible number (at most ``rules.days`` + 1 rows, which
-    is what gets broadcast). The rest happens inside the channel's row.
+    it is worked out once per number that occurs (a handful: which weekdays the period
+    starts and ends with). The rest happens inside the channel's row.
     """
     names = list(rules.mix)
     for name in names:
@@ -30,7 +30,7 @@ def calendar(channels: DataFrame, rules: P.CalendarRules = P.CalendarRules()) ->
         lambda s: s["f"].isNotNull(),
     )
     with_slots = channels.select("channel_id", slots.alias("slots")).withColumn("n", F.size("slots"))
-    rows = with_slots.join(F.broadcast(_pattern(channels.sparkSession, rules, names)), "n").select(
+    rows = with_slots.join(_pattern(with_slots.select("n").distinct(), rules, names), "n").select(
         "channel_id",
         # the outer form keeps the optimizer from testing the arrays in front, which would build them twice
         F.posexplode_outer(F.zip_with("slots", "pattern", lambda s, p: F.struct(
@@ -45,8 +45,8 @@ def calendar(channels: DataFrame, rules: P.CalendarRules = P.CalendarRules()) ->
     )
 
 
-def _pattern(spark: SparkSession, rules: P.CalendarRules, names: list[str]) -> DataFrame:
-    """For every number of slots ``n``: category and sub-category of each slot."""
+def _pattern(numbers: DataFrame, rules: P.CalendarRules, names: list[str]) -> DataFrame:
+    """For every number of slots ``n`` in ``numbers``: category and sub-category of each slot."""
     n = F.col("n")
     counts = largest_remainder(list(rules.mix.values()), n)
     subs = F.array(*[F.array(*[F.lit(s) for s in rules.subcategories.get(c, (c,))]) for c in names])
@@ -62,8 +62,7 @@ def _pattern(spark: SparkSession, rules: P.CalendarRules, names: list[str]) -> D
         )
 
     return (
-        spark.range(rules.days + 1).select(F.col("id").cast("int").alias("n"))
-        .select("n", interleave(counts, len(names)).alias("picks"))
+        numbers.select("n", interleave(counts, len(names)).alias("picks"))
         .select("n", F.transform("picks", slot).alias("pattern"))
     )
 
@@ -77,12 +76,12 @@ def plan_batch(slots: DataFrame, count: int, category: str | None = None, video_
     return top_per_group(slots, ["channel_id"], [F.col("slot")], count, rank="batch_position")
 
 
-def adjacent_repeats(slots: DataFrame) -> DataFrame:
-    """Quality check per channel: slots, categories, and neighbours with equal category and sub-category."""
+def adjacent_repeats(slots: DataFrame, counted: str = P.DEFAULT_CATEGORY) -> DataFrame:
+    """Quality check per channel: slots, those of the ``counted`` category, and neighbours with equal category and sub-category."""
     w = Window.partitionBy("channel_id").orderBy("slot")  # a channel has at most ``days`` slots
     same = (F.lag("category").over(w) == F.col("category")) & (F.lag("subcategory").over(w) == F.col("subcategory"))
     return slots.withColumn("__same", F.coalesce(same, F.lit(False))).groupBy("channel_id").agg(
         F.count("*").alias("slots"),
-        F.count_if(F.col("category") == F.lit("psychology")).alias("psychology_slots"),
+        F.count_if(F.col("category") == F.lit(counted)).alias(f"{counted}_slots"),
         F.count_if(F.col("__same")).alias("adjacent_repeats"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from castwise import params as P
 from castwise.functions import scores, text
+from castwise.operators.joins import lookup
 from castwise.operators.ranking import first_occurrence, top_per_group
 from castwise.operators.similarity import closest_short_text
 from castwise.session import staged
@@ -28,6 +29,8 @@ def candidate_phrases(
     trends: DataFrame,
     taxonomy: Mapping[str, Sequence[str]] = P.SUBCATEGORIES,
     limit: int = 40,
+    leads: Mapping[str, str] = P.TOPIC_LEADS,
+    default_lead: str = P.DEFAULT_TOPIC_LEAD,
 ) -> DataFrame:
     """Trend phrases, then every sub-category of the category and a phrase built on it; distinct, capped.
 
@@ -35,7 +38,7 @@ def candidate_phrases(
     attached to the categories that occur, so the result has rows for those only.
     """
     seeds = F.create_map(*[x for c, subs in taxonomy.items() for x in (F.lit(c), F.array(*[F.lit(s) for s in subs]))])
-    lead = F.when(F.col("category") == "psychology", F.lit("the psychology of ")).otherwise(F.lit("the story of "))
+    lead = lookup(leads, F.col("category"), default_lead)
     from_trends = trends.select(
         "category", F.col("topic").alias("phrase"), F.col("category").alias("subcategory"),
         F.lit(0).alias("source"), F.col("position").cast("long").alias("position"),

@@ -16,7 +16,7 @@ def test_captions(spark, tmp_path):
     got = cues.orderBy("cue").collect()
     assert [(r["cue"], r["start_time"], r["end_time"], r["caption"]) for r in got] == [
         (1, "00:00:00,000", "00:00:03,000", "First line."), (2, "00:00:03,800", "00:00:06,300", "Second line.")]
-    writers.caption_files(cues, str(tmp_path / "srt"))
+    writers.caption_files(cues, str(tmp_path / "srt"), [r[0] for r in cues.select("run_id").distinct().collect()])
     body = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "srt/run_id=1/part-*"))))
     assert body == "1\n00:00:00,000 --> 00:00:03,000\nFirst line.\n\n2\n00:00:03,800 --> 00:00:06,300\nSecond line.\n\n"
     assert not os.path.exists(tmp_path / "srt/run_id=2")

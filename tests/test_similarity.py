@@ -98,7 +98,7 @@ def test_vectors_against_brute_force(spark, block, threshold):
     v += [v[0], v[0], v[3], np.zeros(8), np.zeros(8)]
     rows = [(i, [float(x) for x in vec]) for i, vec in enumerate(v)]
     got = {r["vec_id"]: r for r in S.closest_vector(
-        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold, pivots=5, block=block).collect()}
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold, block=block).collect()}
     m = np.array(v)
     norms = np.linalg.norm(m, axis=1)
     unit = m / np.where(norms == 0, 1, norms)[:, None]

@@ -164,7 +164,7 @@ def stream_summary(spark, folder):
         F.col("l_partkey").alias("video_id"), F.col("l_quantity").cast("long").alias("views"),
         F.round(F.col("l_discount") * 1000).cast("long").alias("retention"),
     )
-    return live.drain(live.retention_by_category(analytics, view(spark, folder, "content_v")), "summary")
+    return live.retention_by_category(analytics, view(spark, folder, "content_v"), "summary")
 
 
 @query("stream_audit", "select agent, status, count(*) as runs from runs_v group by all", ["runs_v"])

@@ -17,18 +17,57 @@ def arriving(spark: SparkSession, path: str, like: DataFrame, max_files: int = 1
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def retention_by_category(analytics: DataFrame, content: DataFrame) -> DataFrame:
-    """Running views and mean retention per category: a stream of analytics against the content table."""
-    return (
-        analytics.join(content.select(F.col("id").alias("video_id"), "category"), "video_id")
-        .groupBy("category")
-        .agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum("views"), F.lit(0)).alias("total_views"),
-            F.round(F.sum(F.col("retention").cast("decimal(18,4)")).cast("double") / F.count("retention"), 1)
-            .alias("avg_retention"),
-        )
+def per_video(analytics: DataFrame) -> DataFrame:
+    """Sums per video: tasks add up their own rows first, so a video with a third of them is a few rows."""
+    return analytics.groupBy("video_id").agg(
+        F.count("*").alias("rows"), F.sum(F.col("views").cast("decimal(28,0)")).alias("views"),
+        F.sum(F.col("retention").cast("decimal(18,4)")).cast("decimal(28,4)").alias("retention"), F.count("retention").alias("rated"))
+
+
+def retention_by_category(analytics: DataFrame, content: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Views and mean retention per category of everything that has arrived: a stream of analytics against the content table.
+
+    Every micro-batch is reduced per video and added to the stored sums, in a new version of them; the raw
+    rows never meet the content table, and only the last two versions are kept. Content is joined once,
+    with one row per video. Pass the same ``folder`` again to go on where it stopped.
+    """
+    spark = analytics.sparkSession
+    base = folder or f"{scratch_dir(spark)}/castwise/stream-{label}-{uuid.uuid4().hex}"
+    schema = per_video(spark.createDataFrame([], analytics.schema)).schema
+
+    def stored() -> DataFrame | None:
+        try:
+            return spark.read.schema(schema).parquet(f"{base}/sums")
+        except AnalysisException:  # nothing has arrived yet
+            return None
+
+    def latest(below: int | None = None) -> DataFrame | None:
+        versions = stored()
+        if versions is None:
+            return None
+        known = versions if below is None else versions.filter(F.col("version") < below)
+        newest = known.agg(F.max("version")).first()[0]
+        return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        new, before = per_video(batch), latest(batch_id)
+        if before is not None:
+            new = new.unionByName(before).groupBy("video_id").agg(*[
+                F.sum(c).cast(schema[c].dataType).alias(c) for c in schema.names if c != "video_id"])
+        new.write.mode("overwrite").parquet(f"{base}/sums/version={batch_id}")
+        if batch_id > 1:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/sums/version={batch_id - 2}")
+
+    (
+        analytics.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True).start().awaitTermination()
     )
+    sums = latest()
+    if sums is None:
+        sums = spark.createDataFrame([], schema)
+    return sums.join(content.select(F.col("id").alias("video_id"), "category"), "video_id").groupBy("category").agg(
+        F.sum("rows").alias("rows"), F.coalesce(F.sum("views"), F.lit(0)).cast("long").alias("total_views"),
+        F.round(F.try_divide(F.sum("retention").cast("double"), F.sum("rated").cast("double")), 1).alias("avg_retention"))
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
@@ -40,7 +79,7 @@ def drain(aggregate: DataFrame, label: str, folder: str | None = None) -> DataFr
 
     State and output live in the shared folder. Each trigger writes the whole result
     as a new version, so a repeated trigger overwrites its own version and readers
-    never see half of one. Pass the same ``folder`` again to go on where it stopped.
+    never see half of one; only the last two are kept. Pass the same ``folder`` again to go on where it stopped.
     """
     spark = aggregate.sparkSession
     base = folder or f"{scratch_dir(spark)}/castwise/stream-{label}-{uuid.uuid4().hex}"
@@ -48,6 +87,8 @@ def drain(aggregate: DataFrame, label: str, folder: str | None = None) -> DataFr
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/result/version={batch_id}")
+        if batch_id > 1:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/result/version={batch_id - 2}")
 
     (
         aggregate.writeStream.outputMode("complete").foreachBatch(publish)

@@ -2,6 +2,8 @@ import glob
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from castwise import schemas
@@ -141,7 +143,7 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = summaries.arriving(spark, str(tmp_path / "in"), like)
-        live = summaries.drain(summaries.retention_by_category(stream, content), "t", state)
+        live = summaries.retention_by_category(stream, content, "t", state)
         results.append({x["category"]: (x["rows"], x["total_views"], x["avg_retention"]) for x in live.collect()})
     assert results[0] == {"a": (1, 10, 50.0)}
     assert results[2] == {"a": (2, 40, 55.0), "b": (1, 20, None)}
@@ -165,3 +167,88 @@ def test_note_facts(spark):
 def test_allowed_license(spark):
     df = spark.createDataFrame([(x,) for x in ("", None, "CC BY 4.0", "Public Domain", "pd-old", "All rights reserved")], "l string")
     assert [r[0] for r in df.select(facts.allowed_license(F.col("l"))).collect()] == [True, True, True, True, True, False]
+
+
+def test_a_status_change_leaves_no_old_row(spark, tmp_path):
+    from castwise import schemas
+
+    path, parts = str(tmp_path / "content"), list(schemas.PARTITIONS["content"])
+    rows = [(1, "a", "published", "t1"), (2, "b", "in_review", "t2"), (3, "b", "in_review", None)]
+    schema = "id long, category string, status string, title string"
+    writers.replace_partitions(spark.createDataFrame(rows, schema), path, parts)
+    changes = spark.createDataFrame([(1, "rejected", None)], "id long, status string, title string")
+    for _ in range(2):  # a repeated job changes nothing more
+        writers.update_rows(spark, path, changes, "id", ["status", "title"], parts)
+    got = sorted((r["id"], r["category"], r["status"], r["title"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a", "rejected", None), (2, "b", "in_review", "t2"), (3, "b", "in_review", None)]
+    with pytest.raises(ValueError):
+        writers.update_rows(spark, path, changes, "id", ["category"], parts)
+
+
+def test_scenes_without_images_stay(spark):
+    from castwise.plans import timeline
+
+    scenes = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0)], "run_id long, idx int")
+    pools = spark.createDataFrame([(1, ["x"]), (2, [])], "run_id long, images array<string>")
+    got = sorted((r["run_id"], r["idx"], r["image"]) for r in timeline.assign_images(scenes, pools).collect())
+    assert got == [(1, 0, "x"), (1, 1, "x"), (2, 0, None), (3, 0, None)]
+
+
+def test_row_local_timeline_equals_the_table_one(spark):
+    from castwise.plans import timeline
+
+    scripts = spark.createDataFrame([(1, "One two three. Four five! And a longer sentence to say here?", 20.0), (2, "Short one here.", None), (3, "", 5.0)],
+                                    "run_id long, script string, narration_seconds double")
+    rows = timeline.rescale_rows(timeline.scene_rows(scripts))
+    flat = scripts.withColumn("title", F.lit("t"))
+    table = timeline.rescale(timeline.scene_plan(flat).select("run_id", "idx", "narration", "duration"), scripts)
+    got = sorted((r["run_id"], r["s"]["idx"], r["s"]["duration"]) for r in rows.select("run_id", F.explode("scenes").alias("s")).collect())
+    assert got == sorted((r["run_id"], r["idx"], r["duration"]) for r in table.collect())
+    assert sorted(map(tuple, timeline.caption_rows(rows).collect())) == sorted(map(tuple, timeline.caption_cues(table).collect()))
+    plan = timeline.caption_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_every_item_has_a_title(spark):
+    from castwise.plans import candidates
+
+    lines = spark.createDataFrame([(1, 1, "A good enough title"), (2, 1, "short")], "item long, position int, raw string")
+    spare = spark.createDataFrame([(1, "Spare one"), (2, "Spare two"), (3, "Spare three")], "item long, title string")
+    got = {r["item"]: r["title"] for r in candidates.best_titles(lines, "item", "position", "raw", fallback=spare).collect()}
+    assert got == {1: "A good enough title", 2: "Spare two", 3: "Spare three"}
+
+
+def test_categories_without_content_have_the_default_arc(spark):
+    from castwise import params as P
+    from castwise.plans import documentary
+
+    content = spark.createDataFrame([("a", 1, "x")], "category string, id long, topic string")
+    asked = spark.createDataFrame([("a",), ("empty",)], "category string")
+    got = documentary.chapters(content, asked, minimum=1, maximum=4).filter("category = 'empty'").orderBy("chapter_no").collect()
+    assert [r["chapter"] for r in got] == list(P.DEFAULT_ARC[:4])
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine():
+    from castwise.session import scratch_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        scratch_dir(session)
+
+
+def test_staged_folders_are_emptied(spark):
+    from castwise.session import clear_staged, staged, staged_folders
+
+    keep = len(staged_folders())
+    kept = staged(spark.range(5).toDF("x"), "t")
+    path = staged_folders()[-1]
+    assert kept.count() == 5
+    assert clear_staged(spark, keep) == 1 and spark.read.parquet(path).count() == 0 and len(staged_folders()) == keep

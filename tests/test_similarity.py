@@ -113,3 +113,34 @@ def test_vectors_against_brute_force(spark, block, threshold):
 def test_cosine_of_a_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     assert [round(r[0], 9) for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
+
+
+def test_a_text_is_not_compared_with_itself(spark):
+    rows = spark.createDataFrame([(1, "red ring"), (2, "blue gear"), (3, "red ring"), (4, "lonely topic"), (5, "lonely topics")], "k long, t string")
+    existing = rows.select(F.col("k").alias("e"), F.col("t").alias("x"))
+    got = {r["k"]: r["max_similarity"] for r in S.closest_short_text(rows, existing, "k", "t", "x", existing_key="e").collect()}
+    assert got[1] == got[3] == 1.0 and got[2] == 0.0
+    assert 0.8 <= got[4] < 1 and got[4] == got[5]
+
+
+def test_unusable_vectors_stay(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [1.0, None])]
+    got = {r["vec_id"]: (r["max_similarity"], r["is_duplicate"]) for r in S.closest_vector(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1.0, True), 2: (0.0, False), 3: (0.0, False), 4: (0.0, False), 5: (1.0, True), 6: (0.0, False)}
+
+
+def test_vector_buckets_prune_clusters(spark):
+    """Compared pairs per vector grow far slower than the table: ten times the clustered vectors, under four times the pairs."""
+    def pairs_per_vector(n):
+        rng = np.random.default_rng(7)
+        centres = rng.normal(size=(n // 10, 32))
+        v = centres[rng.integers(n // 10, size=n)] + rng.normal(scale=0.2, size=(n, 32))
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        bits, tables = S.lsh_shape(n, 0.8, 0.99)
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "node long, u array<double>")
+        met = S.vector_buckets(rows, 32, bits, tables).groupBy("table", "bucket").count()
+        return met.selectExpr("sum(count * count)").first()[0] / n
+
+    small, large = pairs_per_vector(1_000), pairs_per_vector(10_000)
+    assert large < 4 * small

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +21,29 @@ from castwise.operators.sequences import positions
 
 SIZE = 2048
 END_ID = 1
-CACHED_WORDS = 1 << 18  # a worker's memory of words already split into ids
-SLICE = 1 << 16  # words encoded at a time
+CACHED_WORDS = 1 << 17  # words, and pieces, that a worker remembers twice over: the newest, and those before
+SPECIAL = b"<|"  # how the texts of special tokens begin
+PRINTABLE = bytes(range(33, 127))
+# Fixed: how the tokenizer cuts lowered text.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")  # words of these have one form, and their lower case is told letter by letter
+
+# How byte-level tokenizers write bytes: printable ones as themselves, the others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a public tokenizer that splits at white space.
+    """Ids of whole texts by a public tokenizer that lowers its input and splits it at white space.
 
-    Such a tokenizer never merges across a space, so every word between ASCII spaces is encoded
-    once and remembered; the ids of a text are those of its words in turn.
+    Such a tokenizer never merges across a space, so every word between ASCII spaces is encoded once and
+    remembered; the ids of a text are those of its words in turn. A new word is cut into the pieces the
+    tokenizer would cut, and only pieces not met before go through the merges. Words of printable ASCII and of
+    Latin letters are lowered and cut here, others by the tokenizer's own steps; words that may hold the text
+    of a special token are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -37,23 +51,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words, self.older_words = {}, {}
+        self.pieces, self.older_pieces = {}, {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.older_pieces.get(piece)
+            if got is None:
+                got = b"".join([self.id_bytes[t.id] for t in self.tokenizer.model.tokenize(piece)])
+            if len(self.pieces) >= CACHED_WORDS:
+                self.pieces, self.older_pieces = {}, self.pieces
+            self.pieces[piece] = got
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        got = self.older_words.get(word)
+        if got is not None:
+            pass
+        elif SPECIAL in word:
+            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            got = b"".join([self.id_bytes[i] for i in ids])
+        elif not word.translate(None, PRINTABLE):
+            got = b"".join(map(self._piece, ASCII_PIECE.findall(word.decode("ascii").lower())))
+        elif LATIN.fullmatch(text := word.decode("utf-8", "replace")):
+            cut = PIECE.findall(text.lower())
+            got = b"".join([self._piece(p.encode().decode("latin-1").translate(BYTE_CHARS)) for p in cut])
+        else:
+            text = self.tokenizer.normalizer.normalize_str(text)
+            got = b"".join([self._piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        if len(self.words) >= CACHED_WORDS:
+            self.words, self.older_words = {}, self.words
+        self.words[word] = got
+        return got
 
     def ids(self, data: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words, out, known = data.split(), [], self.known
-        for at in range(0, len(words), SLICE):
-            part = words[at: at + SLICE]
-            new = [w for w in dict.fromkeys(part) if w not in known]
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(part))
-            if new:
-                texts = [w.decode("utf-8", "replace") for w in new]
-                for word, got in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
-            out.extend([known[w] for w in part])
-        return b"".join(out)
+        return b"".join([self.words.get(w) or self._word(w) for w in data.split()])
 
 
 def encoder(path: str) -> Encoder:

@@ -375,7 +375,7 @@ def _rescaled(spark, folder):
 
 @query("scene_rescale", _RESCALED + "select run_id, idx, duration from res")
 def scene_rescale(spark, folder):
-    return _rescaled(spark, folder).select("run_id", F.explode("scenes").alias("s")).select("run_id", "s.idx", "s.duration")
+    return _rescaled(spark, folder).select("run_id", F.explode_outer("scenes").alias("s")).filter(F.col("s").isNotNull()).select("run_id", "s.idx", "s.duration")
 
 
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"

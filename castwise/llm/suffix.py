@@ -32,7 +32,7 @@ LENGTH = 50
 GRAM = 24
 SEED = 32  # intervals start at this length, read off the sorted ranks
 LONGEST_RUN = 4096  # strings in a run; longer ones (periodic texts) are cut
-BUCKET_BYTES = 4 << 20  # text per bucket of grams and per shard of documents
+BUCKET_BYTES = 2 << 20  # text per bucket of grams and per shard of documents
 CROWDED = 20_000  # contexts of one gram beyond which its strings are compared one by one, by hash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,42 +141,51 @@ def _span_table(rows: list[dict]) -> pa.Table:
 def _find_runs(docs: DataFrame, length: int, gram: int, buckets: int, tagged: bool) -> DataFrame:
     """Packed runs of all texts (``doc, data``) by bucket of grams.
 
-    Of equal contexts in one batch only the smallest document's go on; the others are known to repeat
-    (``mark``). So a text with very many copies sends one of them from every batch.
+    Of equal contexts in a few megabytes of text only the smallest document's go on; the others are known
+    to repeat (``mark``). So a text with very many copies sends one of them at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, datas = batch.column("doc").to_pylist(), batch.column("data")
-            parts = []
-            for i in sorted((i for i, d in enumerate(docs_) if d is not None), key=docs_.__getitem__):
-                data = datas[i].as_py()
-                if len(data) >= length:
-                    gram_, context, start, count = _runs(data, length, gram)
-                    tag = xxhash.xxh32_intdigest(data) & 0xFFFF if tagged else 0
-                    parts.append((gram_, context, np.full(len(start), docs_[i]), np.full(len(start), tag), start, count))
-            if not parts:
-                continue
-            r = {c: np.concatenate(x) for c, x in zip(RUN_KINDS, zip(*parts))}
-            same = _mix(r["gram"] ^ (r["context"] * BASE))
-            order = np.argsort(same, kind="stable")  # the texts come by ascending id: the first is the smallest
-            first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
-            least = r["doc"][order][first][np.cumsum(first) - 1]
-            later = np.zeros(len(order), bool)
-            later[order] = r["doc"][order] != least
-            mine = np.flatnonzero(~later)
-            mine = mine[np.argsort(r["gram"][mine])]
-            yield from rows(False, {c: x[mine] for c, x in r.items()}, _bucket(r["gram"][mine], buckets))
-            # neighbouring runs that repeat are one span
-            mine = np.flatnonzero(later)
-            if len(mine):
-                apart = (np.diff(mine) != 1) | (r["start"][mine[1:]] != r["start"][mine[:-1]] + r["count"][mine[:-1]])
-                at = np.flatnonzero(np.concatenate([[True], apart]))
-                spans = {c: x[mine[at]] for c, x in r.items()}
-                spans["count"] = np.add.reduceat(r["count"][mine], at)
-                bucket = np.mod(spans["doc"], buckets)
-                order = np.argsort(bucket, kind="stable")
-                yield from rows(True, {c: x[order] for c, x in spans.items()}, bucket[order])
+            some, size = [], 0
+            for doc, data in zip(batch.column("doc").to_pylist(), batch.column("data")):
+                if doc is not None:
+                    some.append((doc, data.as_py()))
+                    size += len(some[-1][1])
+                if size > BUCKET_BYTES:
+                    yield from packed(some)
+                    some, size = [], 0
+            yield from packed(some)
+
+    def packed(some: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for doc, data in sorted(some, key=lambda x: x[0]):
+            if len(data) >= length:
+                gram_, context, start, count = _runs(data, length, gram)
+                tag = xxhash.xxh32_intdigest(data) & 0xFFFF if tagged else 0
+                parts.append((gram_, context, np.full(len(start), doc), np.full(len(start), tag), start, count))
+        if not parts:
+            return
+        r = {c: np.concatenate(x) for c, x in zip(RUN_KINDS, zip(*parts))}
+        same = _mix(r["gram"] ^ (r["context"] * BASE))
+        order = np.argsort(same, kind="stable")  # the texts come by ascending id: the first is the smallest
+        first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+        least = r["doc"][order][first][np.cumsum(first) - 1]
+        later = np.zeros(len(order), bool)
+        later[order] = r["doc"][order] != least
+        mine = np.flatnonzero(~later)
+        mine = mine[np.argsort(r["gram"][mine])]
+        yield from rows(False, {c: x[mine] for c, x in r.items()}, _bucket(r["gram"][mine], buckets))
+        # neighbouring runs that repeat are one span
+        mine = np.flatnonzero(later)
+        if len(mine):
+            apart = (np.diff(mine) != 1) | (r["start"][mine[1:]] != r["start"][mine[:-1]] + r["count"][mine[:-1]])
+            at = np.flatnonzero(np.concatenate([[True], apart]))
+            spans = {c: x[mine[at]] for c, x in r.items()}
+            spans["count"] = np.add.reduceat(r["count"][mine], at)
+            bucket = np.mod(spans["doc"], buckets)
+            order = np.argsort(bucket, kind="stable")
+            yield from rows(True, {c: x[order] for c, x in spans.items()}, bucket[order])
 
     def rows(mark: bool, r: dict[str, np.ndarray], bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = [c for c in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket.astype(np.int64))) + 1) if len(c)]

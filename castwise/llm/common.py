@@ -106,3 +106,13 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
+
+
+def some_of(ids: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``ids``, those with the smallest hashed keys, so the choice repeats.
+
+    A cut by hash leaves not many more than asked for; only these are sorted.
+    """
+    share = min(1.0, 1.5 * rows / max(1, ids.count()))
+    dealt = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return ids.filter(dealt <= F.lit(int(share * (1 << 30)))).orderBy(dealt, key).limit(rows)

@@ -30,6 +30,7 @@ APART = 0.4  # pivots closer than this are one
 DEGREE = 24
 NEAREST, RANDOM = 48, 16  # candidates of a vector
 ALPHA = 1.2
+SAME = 1e-6  # squared distance of vectors in one direction: no edge between them covers another
 BEAM = 48  # members a search expands before it only follows those in range
 EXPANDED = 4  # at a time
 SLACK = 0.02  # members so little below the threshold are expanded too
@@ -66,6 +67,7 @@ def build_graph(x: np.ndarray, seed: int = 7) -> np.ndarray:
     for s in range(0, n, 1024):
         sims = x[s: s + 1024] @ x.T
         sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -np.inf
+        sims += random.uniform(0, SAME, sims.shape).astype(np.float32)  # of many alike, each row takes others
         near[s: s + 1024] = np.argpartition(-sims, nearest - 1, axis=1)[:, :nearest]
     far = random.integers(0, n, (n, RANDOM))
     far[far == np.arange(n)[:, None]] = -1
@@ -106,7 +108,7 @@ def robust_prune(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int
             break
         out[ok, k] = near[at[ok], best[ok]]
         to_best = np.maximum(0, 2 - 2 * np.einsum("nd,nmd->nm", ends[at, best], ends))
-        alive &= ~((alpha**2 * to_best <= to_row) & ok[:, None])
+        alive &= ~((alpha**2 * to_best <= to_row) & ok[:, None] & (to_row > SAME))
         alive[at[ok], best[ok]] = False
     return out
 

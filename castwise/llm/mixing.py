@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import Stage, query, read, utf8
+from castwise.llm.common import Stage, query, read, some_of, utf8
 from castwise.llm.quality import FEATURES, statistics
 
 SAMPLE_ROWS = 12_000  # labelled documents the classifier is fitted on, at most
@@ -92,8 +92,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], stage: S
     unknown domains count as unlabelled; of documents with the same id all are used. Without labelled documents every posterior is uniform.
     """
     domains = tuple(domains)
-    chosen = (labelled.filter(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    named = labelled.filter(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    chosen = some_of(named, "doc_id", sample_rows)
     # bounded by sample_rows
     sample = stage(docs.select("doc_id", utf8(F.col("text")).alias("data")).join(F.broadcast(chosen), "doc_id"))
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], stage: S
 
     rows = sample.mapInArrow(featured, "domain string, x binary")
     # several documents may share an id: a bounded number of rows is taken, smallest first
-    rows = sorted((r["x"], r["domain"]) for r in rows.orderBy("x", "domain").limit(sample_rows).collect())
+    rows = sorted((bytes(r["x"]), r["domain"]) for r in rows.orderBy("x", "domain").limit(sample_rows).collect())
     stage.drop(sample)
     x = np.array([np.frombuffer(a, np.float32) for a, _ in rows], np.float32)
     y = np.array([domains.index(d) for _, d in rows])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import fold, query, read, utf8
+from castwise.llm.common import fold, query, read, some_of, utf8
 
 SAMPLE_ROWS = 20_000  # labelled documents that the trees are fitted on, at most
 HELD_OUT, FOLDS = 2, 4  # rows of this fold never serve as labels
@@ -137,8 +137,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     count as none and as the lower one; of documents with the same id one is used.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    chosen = (usable.groupBy("doc_id").agg(F.min("quality").alias("y"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    chosen = some_of(usable.groupBy("doc_id").agg(F.min("quality").alias("y")), "doc_id", sample_rows)
     # bounded by sample_rows: two numbers a row
     texts = docs.select("doc_id", utf8(F.col("text")).alias("data")).join(F.broadcast(chosen), "doc_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import query, read
+from castwise.llm.common import Stage, query, read
 
 # Fixed values of the task: verdict and (host, path) of every explicit rule.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -15,6 +15,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
 MAX_BAD = 0.25  # a host is blocked if its bad rate is larger than this ...
 Z = 1.645  # ... even at the lower end of the one-sided 95 % posterior interval
+PRIOR_BAD, PRIOR_PAGES = 0.05, 2  # bad rate of pages nobody has labelled, and how many pages that weighs
 MAX_STRENGTH = 1e4  # prior pages when groups differ no more than chance makes them
 LEVELS = ("suffix", "domain", "site")
 
@@ -88,7 +89,8 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     sites = _levels(outcomes, "site")
     domains = sites.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    whole = suffixes.agg(((F.coalesce(F.sum("y"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("above"))
+    bad, seen = F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    whole = suffixes.agg(((bad + PRIOR_PAGES * PRIOR_BAD) / (seen + PRIOR_PAGES)).alias("above"))
 
     def drawn(df: DataFrame) -> Column:
         return (F.col("y") + F.col("m") * F.col("above")) / (F.col("n") + F.col("m"))
@@ -122,7 +124,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str
     counted = parsed.select("key", "site").join(known, "key", "left")
     per_site = counted.groupBy("site").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("y"))
-    posterior = reputation(per_site)
+    posterior = reputation(Stage(pages.sparkSession, "reputation")(per_site))  # read for every level's strength
     joined = parsed.join(posterior, "site", "left")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("lower") > max_bad, "block").otherwise("allow"))
@@ -168,7 +170,7 @@ def _oracle() -> str:
     domains as (select suffix, domain, sum(n)::bigint as n, sum(y)::bigint as y from sites group by all),
     suffixes as (select suffix, sum(n)::bigint as n, sum(y)::bigint as y from domains group by all),
     s as (select suffix, (y + m * above) / (n + m) as above from (
-            select *, {strength('suffixes')} as m, (select (sum(y) + 0.5) / (sum(n) + 1) from suffixes) as above from suffixes)),
+            select *, {strength('suffixes')} as m, (select (sum(y) + {PRIOR_PAGES * PRIOR_BAD}) / (sum(n) + {PRIOR_PAGES}) from suffixes) as above from suffixes)),
     d as (select domain, (y + m * above) / (n + m) as above from (
             select domains.*, s.above, {strength('domains')} as m from domains join s using (suffix))),
     h as (select site, mean, round(mean - {Z} * sqrt(mean * (1 - mean) / (n + m + 1)), 9) as lower from (

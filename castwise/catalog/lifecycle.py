@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from castwise import schemas
-from castwise.catalog.base import query, table, view
+from castwise.catalog.base import ORACLES, QUERIES, query, table, view
+from castwise.operators.joins import for_each
 from castwise.operators.sequences import positions
-from castwise.plans import audit, performance, review
+from castwise.plans import audit, packaging, performance, review
 from castwise.session import scratch_dir
 from castwise.sources import readers, writers
 
@@ -167,3 +168,44 @@ def status_missing(spark, folder):
     """Expected statuses that no content has."""
     expected = spark.createDataFrame([(s,) for s in ("published", "in_review", "quality_failed", "approved", "rejected")], "status string")
     return audit.missing(expected, view(spark, folder, "content_v"), "status")
+
+
+@query("manifest_sink", """
+    select c.id, p.platform, c.topic || '!' as title, case when p.platform = 'fax' then 'skipped' else 'dry_run' end as status,
+           'private' as privacy, '2024-02-01 00:00:00' as generated_at, true as dry_run
+    from content_v c, (values ('youtube'), ('tiktok'), ('fax')) p(platform)
+""", ["content_v"])
+def manifest_sink(spark, folder):
+    """Manifests of all items as JSON lines, read back: packages beside their results."""
+    path = _folder(spark, "manifest")
+    content = view(spark, folder, "content_v")
+    none = F.lit(None).cast("string")
+    packages = for_each(content, ["youtube", "tiktok", "fax"], "platform").select(
+        "id", "platform", F.concat("topic", F.lit("!")).alias("title"), none.alias("description"), none.alias("tags"), none.alias("hashtags"), "category")
+    results = packaging.publish_results(packages)
+    manifest = packaging.publish_manifest(results, generated_at=F.lit("2024-02-01 00:00:00"))
+    writers.json_report(manifest, path)
+    stored = spark.read.schema(manifest.schema).json(path)
+    pairs = stored.select("id", "generated_at", "dry_run", F.explode(F.arrays_zip("packages", "results")).alias("z"))
+    return pairs.select("id", F.col("z.packages.platform").alias("platform"), F.col("z.packages.title").alias("title"),
+                        F.col("z.results.status").alias("status"), F.col("z.packages.privacy").alias("privacy"), "generated_at", "dry_run")
+
+
+@query("rules_sink", ORACLES["learned_rules"])
+def rules_sink(spark, folder):
+    """The learned rules written as one document and read back."""
+    path = _folder(spark, "rules")
+    rules = QUERIES["learned_rules"](spark, folder)
+    writers.single_document(rules, path)
+    return spark.read.schema(rules.schema).json(path)
+
+
+@query("credit_sink", f"""
+    select run_id, string_agg(line, chr(10) order by position, line) as text from ({ORACLES['credit_lines']}) group by 1
+""")
+def credit_sink(spark, folder):
+    """Every run's credits as one text in the text table."""
+    path = _folder(spark, "credits")
+    lines = QUERIES["credit_lines"](spark, folder).withColumn("place", F.struct("position", "line"))
+    writers.text_table(lines, path, "place", "line")
+    return spark.read.parquet(path).select("run_id", "text")

@@ -81,8 +81,9 @@ def publish_results(
     )
 
 
-def publish_manifest(results: DataFrame, run: str = "id") -> DataFrame:
-    """One nested row per run: its packages and results (as many as there are platforms), any of them published."""
+def publish_manifest(results: DataFrame, run: str = "id", generated_at: Column | None = None, dry_run: bool = True) -> DataFrame:
+    """One nested row per run: its packages and results (as many as there are platforms), any of them published,
+    when it was made (default: now) and whether nothing was to be sent."""
     paths = [c for c in ("video_path", "thumbnail_path", "srt_path") if c in results.columns]
     package = F.struct(
         "platform", "title", "description", "tags", "hashtags", "category", *paths, F.lit("private").alias("privacy"))
@@ -90,7 +91,7 @@ def publish_manifest(results: DataFrame, run: str = "id") -> DataFrame:
         F.array_sort(F.collect_list(package)).alias("packages"),
         F.array_sort(F.collect_list(F.struct("platform", "status", "note"))).alias("results"),
         F.bool_or(F.col("status").isin("published", "dry_run")).alias("published"),
-    )
+    ).withColumn("generated_at", F.current_timestamp() if generated_at is None else generated_at).withColumn("dry_run", F.lit(dry_run))
 
 
 def image_pool(hits: DataFrame, count: int) -> DataFrame:

@@ -92,5 +92,10 @@ def clear_staged(spark: SparkSession, keep: int = 0) -> int:
     return len(done)
 
 
+def note_staged(path: str) -> None:
+    """Let ``clear_staged`` also empty a folder that an operator wrote itself."""
+    _STAGED.append(path)
+
+
 def staged_folders() -> list[str]:
     return list(_STAGED)

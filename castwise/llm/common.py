@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.session import scratch_dir
+from castwise.session import note_staged, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,8 @@ class Stage:
     """Written intermediates of one operator call, all below one folder of the shared scratch space.
 
     A table that is used more than once is written and read back, so it is computed once and
-    outlives executors. ``drop`` frees a table whose successor is written.
+    outlives executors. ``drop`` frees a table whose successor is written, ``session.clear_staged`` the
+    rest once the results are written.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -47,6 +48,7 @@ class Stage:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        note_staged(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._staged_path = path
         return kept

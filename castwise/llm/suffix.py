@@ -33,7 +33,8 @@ GRAM = 24
 SEED = 32  # intervals start at this length, read off the sorted ranks
 LONGEST_RUN = 4096  # strings in a run; longer ones (periodic texts) are cut
 BUCKET_BYTES = 2 << 20  # text per bucket of grams and per shard of documents
-CROWDED = 20_000  # contexts of one gram beyond which its strings are compared one by one, by hash
+TRANSFORM_BYTES = 1 << 20  # contexts put into one transform, about; a gram with more has one of its own
+CROWDED = 6 << 20  # bytes of contexts of one gram beyond which its strings are compared one by one, by hash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -218,9 +219,9 @@ def _gather(table: pa.Table, length: int, shards: int) -> pa.Table:
         at = np.flatnonzero(new_gram)
         group = np.cumsum(new_gram) - 1
         several = np.minimum.reduceat(least, at) != np.maximum.reduceat(least, at)
-        contexts = np.add.reduceat(new_context.astype(np.int64), at)
         left = several[group] & ~repeated
-        crowded = contexts[group] > CROWDED
+        size = np.add.reduceat(np.where(left, r["end"] - r["start"], 0).astype(np.int64), at)
+        crowded = size[group] > CROWDED
         rows += _spans(1, {c: r[c][left & ~crowded] for c in SPAN_KINDS}, shards)
         rows += _spans(2, {c: r[c][left & crowded] for c in SPAN_KINDS}, shards)
     return _span_table(rows)
@@ -240,12 +241,13 @@ def _by_document(found: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarr
     return {(int(found["doc"][x[0]]), int(found["tag"][x[0]])): x for x in np.split(order, cuts) if len(x)}
 
 
-CONTEXTS = "bucket int, doc binary, tag binary, start binary, size binary, data binary"
+CONTEXT_KINDS = {"gram": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "size": "<u4"}
+CONTEXTS = "bucket int, " + ", ".join(f"{c} binary" for c in (*CONTEXT_KINDS, "data"))
 
 
 def _cut_contexts(left: pa.Table, right: pa.Table, buckets: int, tagged: bool) -> pa.Table:
     """The bytes of the contexts to compare, by bucket of grams."""
-    out: dict[int, list[tuple[int, int, int, bytes]]] = {}
+    out: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
     if right.num_rows:
         found = _columns(right, SPAN_KINDS)
         places = _by_document(found)
@@ -253,33 +255,39 @@ def _cut_contexts(left: pa.Table, right: pa.Table, buckets: int, tagged: bool) -
         for doc, tag, data in _texts(left, tagged):
             for i in places.get((doc, tag), ()):
                 start = int(found["start"][i])
-                out.setdefault(int(where[i]), []).append((doc, tag, start, data[start: int(found["end"][i])]))
+                out.setdefault(int(where[i]), []).append((int(found["gram"][i]), doc, tag, start, data[start: int(found["end"][i])]))
     rows = []
     for bucket, cut in out.items():
-        doc, tag, start, data = zip(*cut)
-        rows.append({"bucket": bucket, "doc": _pack(np.array(doc), "<i8"), "tag": _pack(np.array(tag), "<u2"),
-                     "start": _pack(np.array(start), "<u4"), "size": _pack(np.array([len(x) for x in data]), "<u4"), "data": b"".join(data)})
-    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in "doc tag start size data".split())]))
+        *numbers, data = zip(*cut)
+        numbers.append([len(x) for x in data])
+        packed = {c: _pack(np.array(x, k), k) for (c, k), x in zip(CONTEXT_KINDS.items(), numbers)}
+        rows.append({"bucket": bucket, **packed, "data": b"".join(data)})
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (*CONTEXT_KINDS, "data"))]))
 
 
 def suffix_order(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least their first ``reach`` symbols, and ranks by the first ``SEED``; prefix doubling from four symbols on."""
+    """Suffixes of 16-bit symbols sorted by at least their first ``reach``, and ranks by the first ``SEED``; prefix doubling from four symbols on."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(4, np.uint64)])
-    key = (padded[:n] << np.uint64(48)) | (padded[1: n + 1] << np.uint64(32)) | (padded[2: n + 2] << np.uint64(16)) | padded[3: n + 3]
+    padded = np.concatenate([text, np.zeros(4, np.uint16)])
+    key = padded[:n].astype(np.uint64)
+    for i in range(1, 4):
+        key <<= np.uint64(16)
+        key |= padded[i: n + i]
     width, seeds = 4, None
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.uint64)]), dtype=np.uint64)
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]), dtype=np.uint32)
+        del ordered
         if width == SEED:
             seeds = rank
         if width >= max(reach, SEED):
             return order, seeds
-        ahead = np.zeros(n, np.uint64)
-        ahead[:-width] = rank[width:] if n > width else 0
-        key = (rank << np.uint64(32)) | ahead
+        key = rank.astype(np.uint64)
+        key <<= np.uint64(32)
+        if n > width:
+            key[:-width] |= rank[width:]
         width *= 2
 
 
@@ -292,24 +300,25 @@ def repeats(doc: np.ndarray, size: np.ndarray, data: bytes, length: int) -> np.n
     separator leave, and intervals whose rows are all of one document are dropped.
     """
     n = len(data) + len(size)
-    text = np.zeros(n, np.uint64)
+    text = np.zeros(n, np.uint16)
     ends = np.cumsum(size.astype(np.int64) + 1) - 1  # places of the separators
     inside = np.ones(n, bool)
     inside[ends] = False
-    text[inside] = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(size)), size.astype(np.int64) + 1)
+    text[inside] = np.frombuffer(data, np.uint8)
+    text[inside] += 1
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size.astype(np.int64) + 1)
     order, seed_rank = suffix_order(text, length)
-    row_of = np.empty(n, np.int64)
-    row_of[order] = np.arange(n)
+    row_of = np.empty(n, np.int32)
+    row_of[order] = np.arange(n, dtype=np.int32)
     before = row_of[order - 1]
-    gained = np.where(order > 0, text[order - 1], 0)
-    row_doc = doc[owner[order]]
+    gained = np.where(order > 0, text[order - 1], np.uint16(0))
+    row_doc = np.unique(doc, return_inverse=True)[1].astype(np.int32)[owner[order]]  # ids by their order are all that matters
     row_text = text[order]
 
     rows = np.flatnonzero(order + SEED <= ends[owner[order]])
     label = seed_rank[order[rows]].astype(np.int64)
     edge = np.concatenate([[True], label[1:] != label[:-1]]) if len(rows) else np.zeros(0, bool)
-    slot = np.full(n, -1, np.int64)
+    slot = np.full(n, -1, np.int32)
     level = SEED
     while len(rows):
         starts = np.flatnonzero(edge)
@@ -337,20 +346,33 @@ def repeats(doc: np.ndarray, size: np.ndarray, data: bytes, length: int) -> np.n
 
 
 def _compare(table: pa.Table, length: int, shards: int) -> pa.Table:
-    kinds = {"doc": "<i8", "tag": "<u2", "start": "<u4", "size": "<u4"}
-    c = _columns(table, kinds)
+    """Repeated spans of the contexts of one bucket. Grams do not meet, so each transform takes a few of them."""
+    c = _columns(table, CONTEXT_KINDS)
     data = b"".join(x.as_py() for x in table.column("data"))
+    end = np.cumsum(c["size"].astype(np.int64))
+    order = np.argsort(c["gram"], kind="stable")
+    gram, size = c["gram"][order], c["size"][order].astype(np.int64)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
+    total = np.concatenate([[0], np.cumsum(size)])
+    rows, first = [], 0
+    for i in range(1, len(edges)):
+        if i + 1 == len(edges) or total[edges[i + 1]] - total[edges[first]] > TRANSFORM_BYTES:
+            some = order[edges[first]: edges[i]]
+            first = i
+            rows += _spans(0, _repeated_spans({k: x[some] for k, x in c.items()}, b"".join([data[end[j] - c["size"][j]: end[j]] for j in some]), length), shards)
+    return _span_table(rows)
+
+
+def _repeated_spans(c: dict[str, np.ndarray], data: bytes, length: int) -> dict[str, np.ndarray]:
     place = repeats(c["doc"], c["size"], data, length)
     if not len(place):
-        return _span_table([])
+        return {k: np.zeros(0, kind) for k, kind in SPAN_KINDS.items()}
     begin = np.cumsum(c["size"].astype(np.int64)) - c["size"]
     owner = np.searchsorted(begin, place, side="right") - 1
-    fresh = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(owner) != 0)])
-    first, last = place[fresh], place[np.append(np.flatnonzero(fresh)[1:], len(place)) - 1]
-    who = owner[fresh]
+    fresh = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(owner) != 0)]))
+    first, last, who = place[fresh], place[np.append(fresh[1:], len(place)) - 1], owner[fresh]
     start = c["start"][who] + (first - begin[who])
-    found = {"gram": np.zeros(len(who), np.uint64), "doc": c["doc"][who], "tag": c["tag"][who], "start": start, "end": start + (last - first) + length}
-    return _span_table(list(_spans(0, found, shards)))
+    return {"gram": c["gram"][who], "doc": c["doc"][who], "tag": c["tag"][who], "start": start, "end": start + (last - first) + length}
 
 
 def _strings(left: pa.Table, right: pa.Table, length: int, tagged: bool) -> pa.Table:

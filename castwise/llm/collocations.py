@@ -34,10 +34,10 @@ UNKNOWN = "und"
 BITS = 1 << 26  # of the map of frequent words; more words make it less selective, never wrong
 PAGE = 32_768  # bits of one row of Spark's bitmap functions
 HOT = 1_000  # a word is hot from this part of its language's words on: at most so many a language
-BLOCK = 2_000_000  # words that one transducer build holds
+BLOCK = 1_000_000  # words that one transducer build holds
 OPEN_WORDS = 400_000  # counted words that a task holds
 KNOWN_WORDS = 1_000_000  # hashed words that a task remembers
-RANGE, RANGES = 2_000_000, 64  # words per range, least number of ranges
+RANGE, RANGES = 1_000_000, 256  # words per range, least number of ranges
 ASKED = 200_000  # requests composed with one copy of a range
 SEED = 42
 BREAK = b"."

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,19 @@ from castwise import params as P
 from castwise.functions import text as X
 
 
+def exact(c: Column) -> Column:
+    """A score by its printed digits, so that weighted sums have no binary noise and ties round half up."""
+    return c.cast("decimal(14,6)")
+
+
+def weight(value: float) -> Column:
+    return F.lit(Decimal(str(value)))
+
+
+def rounded(c: Column, digits: int = 1) -> Column:
+    return F.round(c, digits).cast("double")
+
+
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
@@ -65,8 +79,8 @@ def hook_total(dims: Mapping[str, Column]) -> Column:
     """Weighted mean of the three strongest dimensions."""
     ranked = F.sort_array(F.array(*dims.values()), asc=False)
     weights = (1.2, 1.0, 0.8)
-    total = sum(F.lit(w) * F.element_at(ranked, i + 1) for i, w in enumerate(weights))
-    return F.round(total / F.lit(sum(weights)), 1)
+    total = sum(weight(w) * exact(F.element_at(ranked, i + 1)) for i, w in enumerate(weights))
+    return rounded(total / weight(sum(Decimal(str(w)) for w in weights)))
 
 
 def hook_type(dims: Mapping[str, Column]) -> Column:
@@ -80,14 +94,14 @@ def title_score(title: Column, markers: Iterable[str] = P.TITLE_MARKERS) -> Colu
 
 def topic_total(d: Mapping[str, Column], w: P.TopicWeights = P.TopicWeights()) -> Column:
     raw = (
-        F.lit(w.virality) * d["virality"]
-        + F.lit(w.curiosity) * F.least(F.lit(100), d["curiosity"])
-        + F.lit(w.evergreen) * d["evergreen"]
-        + F.lit(w.educational) * d["educational"]
-        + F.lit(w.emotional) * d["emotional"]
-        - F.lit(w.competition) * d["competition"]
+        weight(w.virality) * exact(d["virality"])
+        + weight(w.curiosity) * exact(F.least(F.lit(100), d["curiosity"]))
+        + weight(w.evergreen) * exact(d["evergreen"])
+        + weight(w.educational) * exact(d["educational"])
+        + weight(w.emotional) * exact(d["emotional"])
+        - weight(w.competition) * exact(d["competition"])
     )
-    return F.round(raw / F.lit(5.0), 1)
+    return rounded(raw / F.lit(Decimal(5)))
 
 
 def topic_curiosity(angle: Column, signal: Column, markers: Iterable[str] = P.CURIOSITY_MARKERS) -> Column:
@@ -163,8 +177,8 @@ def retention_prediction(
     pace = F.when(avg_scene_seconds <= 5.5, 6).when(avg_scene_seconds > 8, -6).otherwise(0)
     known = seconds.isNotNull() & (seconds != 0)
     on_target = F.when(known & seconds.between(low, high), 6).when(known, -6).otherwise(0)
-    raw = F.lit(0.45) * hook_score + F.lit(0.25) * story_score + F.when(curious, 8).otherwise(0) + pace + on_target
-    return F.round(clamp(raw), 1)
+    raw = weight(0.45) * exact(hook_score) + weight(0.25) * exact(story_score) + F.when(curious, 8).otherwise(0) + pace + on_target
+    return rounded(F.least(F.lit(Decimal(100)), F.greatest(F.lit(Decimal(0)), raw)))
 
 
 def copyright_risk(background_music: bool, user_tracks: Column) -> Column:

@@ -149,139 +149,7 @@ def closest_short_text(
     return joined.select(key, sim.alias("max_similarity"), (sim >= t).alias("is_duplicate"))
 
 
-# ---------------------------------------------------------------- shingle Jaccard
-
-def shingles(words: Column, width: int = 3) -> Column:
-    """Distinct hashed runs of ``width`` words; a shorter text is one run.
-
-    ``words`` should be a plain column: it is read several times.
-    """
-    # the list is zipped with itself shifted; a lambda that indexed it would rebuild it for every element
-    n = F.size(words) - (width - 1)
-    runs = F.transform(F.slice(words, F.lit(1), F.greatest(n, F.lit(0))), lambda x: F.xxhash64(x))
-    for j in range(1, width):
-        shifted = F.slice(words, F.lit(j + 1), F.greatest(n, F.lit(0)))
-        runs = F.zip_with(runs, shifted, lambda h, x: F.xxhash64(h, x))
-    return F.array_distinct(
-        F.when(n > 0, runs).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " "))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-
-
-def closest_document(
-    documents: DataFrame,
-    threshold: float = 0.8,
-    width: int = 3,
-    hot_df: int = 64,
-) -> DataFrame:
-    """(doc_id, max_similarity, is_duplicate) by Jaccard similarity of word shingles.
-
-    ``documents`` has (doc_id, text, existing); candidates are all rows, the corpus
-    those with ``existing``. Two kinds of shingle are told apart by how many distinct
-    texts hold them:
-
-    * rare ones (at most ``hot_df`` texts) go through an inverted-index join, so a
-      shingle adds at most ``hot_df`` squared rows whatever the corpus size;
-    * hot ones (boilerplate) are never joined document by document. They are added
-      to the pairs found above from a short array per text. Pairs with no rare
-      shingle in common can only reach the threshold if both texts are boilerplate
-      almost throughout; such texts fall into few classes of equal hot shingles and
-      size, and the classes are compared instead of their members.
-
-    Both parts together find every pair at or above the threshold.
-    """
-    t = threshold
-    docs = documents.select(
-        "doc_id", F.col("existing").cast("boolean").alias("existing"),
-        X.normalise(F.coalesce(F.col("text"), F.lit(""))).alias("normal"),
-    ).withColumn("h", F.sha2("normal", 256))
-    groups = docs.groupBy("h").agg(
-        F.min(F.struct("doc_id", "normal")).alias("first"),
-        F.count_if("existing").alias("n_existing"),
-    )
-    words = F.when(F.col("first.normal") != "", F.split("first.normal", " ")).otherwise(F.array().cast("array<string>"))
-    reps = staged(
-        groups.select("h", "n_existing", F.col("first.doc_id").alias("rep"), words.alias("words"))
-        .select("h", "n_existing", "rep", shingles(F.col("words"), width).alias("sh"))
-        .select("h", "n_existing", "rep", F.size("sh").alias("n"), "sh"),
-        "shingle-sets",
-    )
-    postings = reps.filter("n > 0").select("rep", "n", (F.col("n_existing") > 0).alias("e"), F.explode("sh").alias("s"))
-    df = postings.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    shared = staged(postings.join(df, "s"), "shared-shingles")
-
-    rare = shared.filter(F.col("df") <= hot_df)
-    left = rare.select("s", F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = rare.filter("e").select("s", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    size_ok = (F.col("nb") >= F.col("na") * t - 1e-9) & (F.col("na") >= F.col("nb") * t - 1e-9)
-    counted = (
-        left.join(right, "s").filter((F.col("a") != F.col("b")) & size_ok)
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    )
-    hot = staged(
-        shared.filter(F.col("df") > hot_df)
-        .groupBy("rep", "n", "e").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ranked"))
-        .select("rep", "n", "e", F.transform("ranked", lambda r: r["s"]).alias("hot")),
-        "hot-shingles",
-    )
-    none = F.array().cast("array<bigint>")
-    hot_a = hot.select(F.col("rep").alias("a"), F.col("hot").alias("hot_a"))
-    hot_b = hot.select(F.col("rep").alias("b"), F.col("hot").alias("hot_b"))
-    common = F.col("common") + F.size(F.array_intersect(F.coalesce("hot_a", none), F.coalesce("hot_b", none)))
-    # most pairs share a rare shingle by chance only and cannot get there even with all their hot ones
-    reachable = F.col("common") + F.size(F.coalesce("hot_a", none)) >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
-    by_rare = (
-        counted.join(hot_a, "a", "left").filter(reachable).join(hot_b, "b", "left")
-        .select(F.col("a").alias("rep"), (common / (F.col("na") + F.col("nb") - common)).alias("sim"))
-        .filter(F.col("sim") >= t)
-    )
-
-    # texts made of boilerplate: all members of a class have the same similarity to anything outside the rare index
-    boiler = hot.filter(F.size("hot") >= F.col("n") * t - 1e-9)
-    classes = boiler.groupBy("hot", "n").agg(
-        F.count("*").alias("members"), F.count_if("e").alias("existing_members"), F.min("rep").alias("class_id"))
-    twins = classes.filter((F.col("members") > 1) & (F.col("existing_members") > 0)).select(
-        F.col("class_id"), (F.size("hot") / (2 * F.col("n") - F.size("hot"))).alias("sim"),
-        F.col("existing_members"),
-    )
-    # classes meet at the first common shingle of their prefixes, are compared there and then, and only the maximum
-    # goes on: no pair is written or shuffled, and a crowded shingle is split over tasks as any skewed join key
-    cut = (F.size("hot") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
-    prefix = classes.withColumn("prefix", F.slice("hot", F.lit(1), cut)).select(
-        "class_id", "n", "hot", "existing_members", "prefix", F.posexplode("prefix").alias("i", "s"))
-    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("class_id", ""), ("n", "n"), ("hot", "hot_"), ("prefix", "p"), ("i", "i"))]
-    inter = F.size(F.array_intersect("hot_a", "hot_b"))
-    # both lists are in one order, so all common shingles lie at or behind the first meeting
-    left_over = F.least(F.size("hot_a") - F.col("ia"), F.size("hot_b") - F.col("ib"))
-    enough_left = left_over >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
-    across = (
-        prefix.select("s", *side("a")).join(
-            _by_merge(prefix.filter("existing_members > 0").select("s", *side("b"))), "s")
-        .filter((F.col("a") != F.col("b")) & size_ok & enough_left & _first_meeting("pa", "ia", "pb", "ib"))
-        .select(F.col("a").alias("class_id"), (inter / (F.col("na") + F.col("nb") - inter)).alias("sim"))
-        .groupBy("class_id").agg(F.max("sim").alias("across"))
-    )
-    members = boiler.select("rep", "e", "hot", "n").join(
-        classes.select("hot", "n", "class_id"), ["hot", "n"]
-    ).select("rep", "e", "class_id")
-    alone = F.col("e") & (F.col("existing_members") == 1)  # the only existing member is the text itself
-    by_boiler = (
-        members.join(twins, "class_id", "left").join(across, "class_id", "left")
-        .select("rep", F.greatest(
-            F.when(~alone, F.col("sim")), F.col("across"), F.lit(0.0)).alias("sim"))
-        .filter(F.col("sim") >= t)
-    )
-    best = by_rare.unionByName(by_boiler).groupBy("rep").agg(F.max("sim").alias("best"))
-
-    # a copy elsewhere in the corpus settles it; otherwise the closest other text does
-    per_text = reps.select("h", "rep", "n_existing", "n").join(best, "rep", "left")
-    copies = F.col("n_existing") - F.col("existing").cast("int")
-    sim = F.when((copies > 0) & (F.col("n") > 0), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    return (
-        docs.select("doc_id", "existing", "h").join(per_text, "h")
-        .select("doc_id", sim.alias("max_similarity"), (sim >= t).alias("is_duplicate"))
-    )
-
+# ---------------------------------------------------------------- documents (see sets.py)
 
 def originality(max_similarity: Column, script: Column) -> Column:
     """``(1 - similarity) * 100``; 0 for an empty script."""

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from castwise.operators import sets
 from castwise.operators import similarity as S
+from castwise.operators.sets import closest_document
 
 
 def _norm(t):
@@ -71,11 +73,11 @@ def _corpus(seed):
     return [(i, t, rng.random() < 0.6) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("threshold, hot_df", [(0.8, 4), (0.8, 1000), (0.8, 1), (0.5, 6), (0.3, 3)])
-def test_documents_against_brute_force(spark, threshold, hot_df):
-    docs = _corpus(hot_df)
-    got = {r["doc_id"]: r for r in S.closest_document(
-        spark.createDataFrame(docs, "doc_id long, text string, existing boolean"), threshold, hot_df=hot_df).collect()}
+@pytest.mark.parametrize("threshold, seed", [(0.8, 4), (0.8, 1000), (0.8, 1), (0.5, 6), (0.3, 3), (0.15, 5), (1.0, 8)])
+def test_documents_against_brute_force(spark, threshold, seed):
+    docs = _corpus(seed)
+    got = {r["doc_id"]: r for r in closest_document(
+        spark.createDataFrame(docs, "doc_id long, text string, existing boolean"), threshold).collect()}
     sets = {i: _shingles(t) for i, t, _ in docs}
     assert len(got) == len(docs)
     for i, _, _ in docs:
@@ -85,6 +87,43 @@ def test_documents_against_brute_force(spark, threshold, hot_df):
         assert got[i]["is_duplicate"] == (best >= threshold)
 
 
+def _lists(spark, docs, threshold):
+    frame = spark.createDataFrame(docs, "doc_id long, text string, existing boolean")
+    rows = sets.shingle_sets(frame).filter("n > 0").select(F.col("doc_id").alias("rep"), "n", F.col("existing").alias("e"), F.explode("sh").alias("s"))
+    return sets.ordered(rows, threshold)
+
+
+def test_a_shingle_in_every_text_makes_no_pairs(spark):
+    """Texts that share one line and are otherwise their own meet nowhere; nothing is lost."""
+    rng = random.Random(2)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    docs = [(i, f"all rights reserved here {own(60)}", True) for i in range(400)]
+    docs += [(1000, docs[5][1] + " tail", True)]
+    lists = _lists(spark, docs, 0.8)
+    assert {tuple(sorted(r)) for r in sets.candidates(lists, 0.8).collect()} == {(5, 1000)}
+    got = {r["doc_id"] for r in closest_document(spark.createDataFrame(docs, "doc_id long, text string, existing boolean")).collect() if r["is_duplicate"]}
+    assert got == {5, 1000}
+
+
+def test_no_filter_loses_a_pair(spark):
+    docs = [d for d in _corpus(21) if d[1].split()]
+    texts = {i: _shingles(t) for i, t, _ in docs}
+    for threshold in (0.8, 0.4, 0.15):
+        found = {tuple(r) for r in sets.candidates(_lists(spark, docs, threshold), threshold).collect()}
+        near = {(i, j) for i, _, _ in docs for j, _, e in docs
+                if e and i != j and len(texts[i] & texts[j]) >= threshold * len(texts[i] | texts[j]) - 1e-12}
+        # texts of one set of shingles are one text to the operator and never meet here
+        assert near <= found, threshold
+
+
+def test_compared_pairs_grow_with_the_table(spark):
+    count = lambda folder: sets.candidates(
+        sets.ordered(sets.shingle_sets(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.lit(True).alias("existing")))
+                     .filter("n > 0").dropDuplicates(["key"]).select(F.col("doc_id").alias("rep"), "n", F.lit(True).alias("e"), F.explode("sh").alias("s")), 0.8), 0.8).count()
+    small, large = count("/root/testdata/sf0.01"), count("/root/testdata/sf0.1")
+    assert 0 < large <= 15 * small
+
+
 def test_originality(spark):
     df = spark.createDataFrame([(0.25, "text"), (0.0, ""), (1.0, "x")], "s double, t string")
     assert [r[0] for r in df.select(S.originality(F.col("s"), F.col("t"))).collect()] == [75.0, 0.0, 0.0]

@@ -37,7 +37,7 @@ HOT = 1_000  # a word is hot from this part of its language's words on: at most
 BLOCK = 1_000_000  # words that one transducer build holds
 OPEN_WORDS = 400_000  # counted words that a task holds
 KNOWN_WORDS = 1_000_000  # hashed words that a task remembers
-RANGE, RANGES = 1_000_000, 256  # words per range, least number of ranges
+RANGE, RANGES = 1_000_000, 128  # words per range, least number of ranges
 ASKED = 200_000  # requests composed with one copy of a range
 SEED = 42
 BREAK = b"."
@@ -205,6 +205,19 @@ def build(rows: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"roots": roots, "starts2": starts2.astype(np.uint32), "arcs2": arcs2, "starts3": starts3.astype(np.uint32), "arcs3": arcs3}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array as byte planes: those of high bytes are mostly zero and cost nothing once compressed."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _rows(data: bytes, kind: type, width: int = 1) -> np.ndarray:
+    size = np.dtype(kind).itemsize * width
+    if not data:
+        return np.zeros((0, width) if width > 1 else 0, kind)
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind)
+    return x if width > 1 else x.ravel()
+
+
 def shard(lang: str, stream: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[dict]:
     """The transducers of a stream of hashes (0 between runs), one per range."""
     labels, rows, counts = windows(stream)
@@ -218,7 +231,7 @@ def shard(lang: str, stream: np.ndarray, hot: np.ndarray, buckets: int) -> Itera
         mine = order[a:b]
         used, local = np.unique(np.concatenate([[0], rows[mine].ravel()]), return_inverse=True)
         made = build(local[1:].reshape(-1, LONGEST), counts[mine])
-        yield {"lang": lang, "bucket": int(bucket[mine[0]]), "labels": labels[used].tobytes(), **{k: v.tobytes() for k, v in made.items()}}
+        yield {"lang": lang, "bucket": int(bucket[mine[0]]), "labels": _planes(labels[used]), **{k: _planes(v) for k, v in made.items()}}
 
 
 def _expanded(state: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +257,9 @@ def united(pieces: list[dict], hot: np.ndarray, least: int) -> Iterator[tuple[np
     labels, roots, starts2, arcs2, starts3, arcs3 = [], [], [], [], [], []
     at = {"label": 0, "s2": 0, "a2": 0, "s3": 0, "a3": 0}
     for p in pieces:
-        own = np.frombuffer(p["labels"], np.uint64)
-        r = np.frombuffer(p["roots"], np.uint32).reshape(-1, 4).astype(np.int64)
-        a2 = np.frombuffer(p["arcs2"], np.uint32).reshape(-1, 3).astype(np.int64)
-        a3 = np.frombuffer(p["arcs3"], np.uint32).reshape(-1, 2).astype(np.int64)
-        s2, s3 = (np.frombuffer(p[k], np.uint32).astype(np.int64) for k in ("starts2", "starts3"))
+        own = _rows(p["labels"], np.uint64)
+        r, a2, a3 = (_rows(p[k], np.uint32, width).astype(np.int64) for k, width in (("roots", 4), ("arcs2", 3), ("arcs3", 2)))
+        s2, s3 = (_rows(p[k], np.uint32).astype(np.int64) for k in ("starts2", "starts3"))
         labels.append(own)
         roots.append(r + np.array([at["label"], at["label"], 0, at["s2"]]))
         arcs2.append(a2 + np.array([at["label"], 0, at["s3"]]))

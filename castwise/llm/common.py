@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,3 +119,27 @@ def some_of(ids: DataFrame, key: str, rows: int) -> DataFrame:
     share = min(1.0, 1.5 * rows / max(1, ids.count()))
     dealt = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     return ids.filter(dealt <= F.lit(int(share * (1 << 30)))).orderBy(dealt, key).limit(rows)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, lengthened until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of every document: XXH64 of its id modulo the shards, as ``xxhash64`` of a bigint column has it."""
+    # fixed values of XXH64
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (np.uint64(42 + 8) + p5) ^ (_rotated(doc.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = _rotated(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return np.mod((h ^ h >> np.uint64(32)).view(np.int64), shards)

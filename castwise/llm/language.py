@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from castwise.llm.common import Stage, fold, query, read
+from castwise.llm.common import Stage, fold, free_name, query, read
 
 SAMPLE_ROWS = 1_200  # documents per language that the centroids are clustered from, at most
 CENTROIDS = 4  # per language
@@ -253,14 +253,6 @@ def kept(docs: DataFrame, model: Model, langs: list[str], reject: bool = True) -
     return told.filter(fits & ~F.col(f"{name}.rejected") if reject else fits).drop(name)
 
 
-def free_name(docs: DataFrame, wish: str) -> str:
-    """``wish``, lengthened until no column of ``docs`` has that name."""
-    taken = {c.lower() for c in docs.columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import Stage, query, read, some_of, utf8
+from castwise.llm.common import free_name, query, read, some_of, Stage, utf8
 from castwise.llm.quality import FEATURES, statistics
 
 SAMPLE_ROWS = 12_000  # labelled documents the classifier is fitted on, at most
@@ -208,8 +208,9 @@ def posteriors(docs: DataFrame, model: Classifier, carry: Sequence[str], text: s
             x = np.array([model.features(b) for b in part]).reshape(len(part), len(model.mean))
             yield pd.DataFrame({"n_tokens": [len(b.split()) for b in part], "p": list(model.posteriors(x))})
 
-    return docs.withColumn("__m", member(utf8(F.col(text)))).select(
-        *carry, F.col("__m.n_tokens").alias("n_tokens"), F.col("__m.p").alias("p"))
+    name = free_name(docs, "membership")
+    return docs.withColumn(name, member(utf8(F.col(text)))).select(
+        *carry, F.col(f"{name}.n_tokens").alias("n_tokens"), F.col(f"{name}.p").alias("p"))
 
 
 def with_rates(members: DataFrame, rates: Rates, k: int) -> DataFrame:
@@ -266,9 +267,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = T
             x = np.array([model.features(b) for b in part]).reshape(len(part), len(model.mean))
             yield pd.Series(rates.of(model.posteriors(x)))
 
-    times = copies(F.col("__rate"), F.col(key))
-    return docs.withColumn("__rate", rate(utf8(F.col(text)))).withColumn(
-        "__copy", F.explode(F.array_repeat(F.lit(1), times))).drop("__rate", "__copy")
+    own, copy = free_name(docs, "rate"), free_name(docs, "copy")
+    times = copies(F.col(own), F.col(key))
+    return docs.withColumn(own, rate(utf8(F.col(text)))).withColumn(
+        copy, F.explode(F.array_repeat(F.lit(1), times))).drop(own, copy)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

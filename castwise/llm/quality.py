@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import fold, query, read, some_of, utf8
+from castwise.llm.common import fold, free_name, query, read, some_of, utf8
 
 SAMPLE_ROWS = 20_000  # labelled documents that the trees are fitted on, at most
 HELD_OUT, FOLDS = 2, 4  # rows of this fold never serve as labels
@@ -171,7 +171,8 @@ def scored(docs: DataFrame, model: Trees, text: str = "text", name: str = "score
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The documents that score at least ``accept``, unchanged."""
-    return scored(docs, train(docs, labels), name="__score").filter(F.col("__score") >= accept).drop("__score")
+    name = free_name(docs, "score")
+    return scored(docs, train(docs, labels), name=name).filter(F.col(name) >= accept).drop(name)
 
 
 @query("op7_quality")

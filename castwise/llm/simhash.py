@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import Stage, components, per_batch, query, read, utf8
+from castwise.llm.common import components, free_name, per_batch, query, read, Stage, utf8
 
 BITS = 64
 
@@ -39,10 +39,11 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42, chunk: int = 1 <<
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` without its text, with the fingerprint (bigint) of every row."""
     others = [c for c in docs.columns if c != text]
-    bare = docs.select(*others, utf8(F.col(text)).alias("__text"))
+    mine = free_name(docs, "text_of_row")
+    bare = docs.select(*others, utf8(F.col(text)).alias(mine))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = pa.array([fingerprint(x) for x in batch.column("__text").to_pylist()], pa.int64())
+        values = pa.array([fingerprint(x) for x in batch.column(mine).to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], values], [*others, name])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm.common import Stage, query, read, utf8
+from castwise.llm.common import free_name, query, read, shard_of, Stage, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -111,9 +111,9 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-RUN_KINDS = {"gram": "<u8", "context": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "count": "<u4"}
+RUN_KINDS = {"gram": "<u8", "context": "<u8", "doc": "<i8", "tag": "<i8", "start": "<u4", "count": "<u4"}
 RUNS = "bucket int, mark boolean, " + ", ".join(f"{c} binary" for c in RUN_KINDS)
-SPAN_KINDS = {"gram": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "end": "<u4"}
+SPAN_KINDS = {"gram": "<u8", "doc": "<i8", "tag": "<i8", "start": "<u4", "end": "<u4"}
 SPANS = "kind int, shard int, " + ", ".join(f"{c} binary" for c in SPAN_KINDS)
 
 
@@ -127,7 +127,7 @@ def _columns(table: pa.Table | pa.RecordBatch, kinds: dict[str, str]) -> dict[st
 
 def _spans(kind: int, found: dict[str, np.ndarray], shards: int) -> Iterator[dict]:
     """Rows of packed spans, one per shard of documents."""
-    shard = np.mod(found["doc"], shards)
+    shard = shard_of(found["doc"], shards)
     order = np.argsort(shard, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
         if len(part):
@@ -163,7 +163,7 @@ def _find_runs(docs: DataFrame, length: int, gram: int, buckets: int, tagged: bo
         for doc, data in sorted(some, key=lambda x: x[0]):
             if len(data) >= length:
                 gram_, context, start, count = _runs(data, length, gram)
-                tag = xxhash.xxh32_intdigest(data) & 0xFFFF if tagged else 0
+                tag = _tag(data) if tagged else 0
                 parts.append((gram_, context, np.full(len(start), doc), np.full(len(start), tag), start, count))
         if not parts:
             return
@@ -184,7 +184,7 @@ def _find_runs(docs: DataFrame, length: int, gram: int, buckets: int, tagged: bo
             at = np.flatnonzero(np.concatenate([[True], apart]))
             spans = {c: x[mine[at]] for c, x in r.items()}
             spans["count"] = np.add.reduceat(r["count"][mine], at)
-            bucket = np.mod(spans["doc"], buckets)
+            bucket = shard_of(spans["doc"], buckets)
             order = np.argsort(bucket, kind="stable")
             yield from rows(True, {c: x[order] for c, x in spans.items()}, bucket[order])
 
@@ -227,21 +227,27 @@ def _gather(table: pa.Table, length: int, shards: int) -> pa.Table:
     return _span_table(rows)
 
 
+def _tag(data: bytes) -> int:
+    """63 bits that tell the texts of a repeated id apart."""
+    return xxhash.xxh64_intdigest(data) >> 1
+
+
 def _texts(left: pa.Table, tagged: bool) -> Iterator[tuple[int | None, int, bytes]]:
-    for doc, data in zip(left.column("__doc").to_pylist(), left.column("__data")):
+    """Id, tag and bytes of every row; the last columns are id, bytes and shard."""
+    for doc, data in zip(left.column(left.num_columns - 3).to_pylist(), left.column(left.num_columns - 2)):
         raw = data.as_py()
-        yield doc, xxhash.xxh32_intdigest(raw) & 0xFFFF if tagged else 0, raw
+        yield doc, _tag(raw) if tagged else 0, raw
 
 
 def _by_document(found: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
     """Places of the spans of every (doc, tag)."""
     order = np.lexsort((found["start"], found["tag"], found["doc"]))
     doc, tag = found["doc"][order], found["tag"][order]
-    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(tag.astype(np.int32)) != 0)) + 1
+    cuts = np.flatnonzero((np.diff(doc) != 0) | (tag[1:] != tag[:-1])) + 1
     return {(int(found["doc"][x[0]]), int(found["tag"][x[0]])): x for x in np.split(order, cuts) if len(x)}
 
 
-CONTEXT_KINDS = {"gram": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "size": "<u4"}
+CONTEXT_KINDS = {"gram": "<u8", "doc": "<i8", "tag": "<i8", "start": "<u4", "size": "<u4"}
 CONTEXTS = "bucket int, " + ", ".join(f"{c} binary" for c in (*CONTEXT_KINDS, "data"))
 
 
@@ -388,7 +394,7 @@ def _strings(left: pa.Table, right: pa.Table, length: int, tagged: bool) -> pa.T
                     doc_.append(doc)
                     tag_.append(tag)
                     at.append(start)
-    return pa.table({"string": pa.array(h, pa.binary()), "doc": pa.array(doc_, pa.int64()), "tag": pa.array(tag_, pa.int32()), "start": pa.array(at, pa.int64())})
+    return pa.table({"string": pa.array(h, pa.binary()), "doc": pa.array(doc_, pa.int64()), "tag": pa.array(tag_, pa.int64()), "start": pa.array(at, pa.int64())})
 
 
 def _merged(spans: np.ndarray, found: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -408,7 +414,7 @@ def _remove(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def strip(docs: DataFrame, found: Callable[[DataFrame], DataFrame], columns: str, make: Callable, tagged: bool) -> DataFrame:
+def strip(docs: DataFrame, found: DataFrame, columns: str, make: Callable, tagged: bool) -> DataFrame:
     """Cogroups sharded texts with their spans: ``make(table, runs per row)`` gives the columns of the result."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -417,7 +423,7 @@ def strip(docs: DataFrame, found: Callable[[DataFrame], DataFrame], columns: str
         runs = [(data, _merged(places.get((doc, tag), np.zeros(0, np.int64)), spans)) for doc, tag, data in _texts(left, tagged)]
         return make(left, runs)
 
-    return docs.groupBy("__shard").cogroup(found.groupBy("shard")).applyInArrow(run, columns)
+    return docs.groupBy(docs.columns[-1]).cogroup(found.groupBy("shard")).applyInArrow(run, columns)
 
 
 def _removal(docs: DataFrame, key: str, text: str, columns: str, make: Callable, length: int, gram: int) -> DataFrame:
@@ -434,17 +440,21 @@ def _removal(docs: DataFrame, key: str, text: str, columns: str, make: Callable,
     runs = _find_runs(bare, length, gram, parts, tagged)
     told = stage(runs.groupBy("bucket").applyInArrow(lambda t: _gather(t, length, parts), SPANS))
 
-    shard = F.coalesce(F.pmod(F.col(key).cast("bigint"), F.lit(parts)), F.lit(0)).cast("int")
-    sharded = docs.withColumn("__doc", F.col(key).cast("bigint")).withColumn("__data", data).drop(text).withColumn("__shard", shard)
-    cut = sharded.groupBy("__shard").cogroup(told.filter("kind = 1").groupBy("shard")).applyInArrow(
+    # rows without an id have no spans and may be in any shard
+    number = F.col(key).cast("bigint")
+    shard = F.pmod(F.when(number.isNotNull(), F.xxhash64(number)).otherwise(F.xxhash64(data)), F.lit(parts)).cast("int")
+    doc_, data_, shard_ = (free_name(docs, n) for n in ("doc_of_row", "data_of_row", "shard_of_row"))
+    sharded = docs.withColumn(doc_, number).withColumn(data_, data).withColumn(shard_, shard).select(
+        *[c for c in docs.columns if c != text], doc_, data_, shard_)
+    cut = sharded.groupBy(shard_).cogroup(told.filter("kind = 1").groupBy("shard")).applyInArrow(
         lambda a, b: _cut_contexts(a, b, parts, tagged), CONTEXTS)
     compared = cut.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, parts), SPANS)
     found = told.filter("kind = 0").union(compared)
 
     crowded = told.filter("kind = 2")
     if not crowded.isEmpty():
-        each = sharded.groupBy("__shard").cogroup(crowded.groupBy("shard")).applyInArrow(
-            lambda a, b: _strings(a, b, length, tagged), "string binary, doc bigint, tag int, start bigint")
+        each = sharded.groupBy(shard_).cogroup(crowded.groupBy("shard")).applyInArrow(
+            lambda a, b: _strings(a, b, length, tagged), "string binary, doc bigint, tag bigint, start bigint")
         each = stage(each)
         least = each.groupBy("string").agg(F.min("doc").alias("least"))
         later = each.join(least, "string").filter("doc > least").select("doc", "tag", "start")

@@ -116,3 +116,19 @@ def test_texts_are_cut(frame, edges):
 def test_empty(frame):
     assert suffix.removed(frame([])).count() == 0
     assert suffix.deduplicated(frame([])).count() == 0
+
+
+def test_texts_of_one_id_are_told_apart(spark, frame):
+    """Thousands of texts under one id, some with a passage of a smaller document: each loses its own spans only."""
+    passage = prose(70, 30)
+    rows = [(1, passage)] + [(5, f"{prose(1000 + i, 6)} {passage if i % 7 == 0 else prose(5000 + i, 30)}") for i in range(1500)]
+    lost = sorted(r["n_removed"] for r in suffix.removed(frame(rows)).filter("doc_id = 5").collect())
+    cut = len(passage.encode())
+    assert sum(n >= cut for n in lost) == len([i for i in range(1500) if i % 7 == 0]) and lost[0] == 0
+
+
+def test_columns_named_like_those_inside(spark, edges):
+    rows = [(i, t, "a", "b", 1) for i, t in edges]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, doc_of_row string, data_of_row string, shard_of_row int")
+    got = suffix.deduplicated(docs)
+    assert got.columns == docs.columns and {(r["doc_of_row"], r["data_of_row"], r["shard_of_row"]) for r in got.collect()} == {("a", "b", 1)}

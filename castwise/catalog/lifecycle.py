@@ -88,10 +88,11 @@ def _produced(spark, folder):
 
 @query("finalize_memory", f"""
     select content_id as video_id, topic, hook, hook_type, story_structure, script_style, duration
-    from ({_PRODUCED}) where content_id not in (select video_id from memory_v where video_id % 5 = 0)
-""", ["content_v", "memory_v"])
+    from ({_PRODUCED}) where content_id not in (select o_custkey from orders)
+""", ["content_v"])
 def finalize_memory(spark, folder):
-    memory = view(spark, folder, "memory_v").filter("video_id % 5 = 0")
+    """Orders stand for memory rows: the videos of all others are remembered now."""
+    memory = table(spark, folder, "orders").select(F.col("o_custkey").alias("video_id"))
     return review.finalize(_produced(spark, folder), memory)
 
 
@@ -160,6 +161,23 @@ def review_scan(spark, folder):
     return positions(joined.withColumn("__all", F.lit(0)), ["__all"], [F.col("path")]).select("run_id", "title", "status", "stages", "position")
 
 
+@query("stored_performance", """
+    with a as (select video_id, sum(views)::bigint as views, round(sum(cast(retention as decimal(18, 4)))::double / count(retention), 1) as retention
+               from analytics_v group by 1)
+    select c.id, category, status, views, retention, hook_type, performance_score::double as performance_score
+    from content_v c left join a on a.video_id = c.id join memory_v m on m.video_id = c.id
+""", ["content_v", "analytics_v", "memory_v"])
+def stored_performance(spark, folder):
+    """Content, analytics and memory created, stored in buckets of the video, and joined there."""
+    database = f"castwise_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{_folder(spark, 'tables')}'")
+    schemas.create_tables(spark, database)
+    schemas.append_rows(view(spark, folder, "content_v"), "content", database)
+    schemas.append_rows(view(spark, folder, "analytics_v"), "analytics", database)
+    schemas.append_rows(view(spark, folder, "memory_v"), "content_memory", database)
+    return performance.stored_performance(*(spark.table(f"{database}.{t}") for t in ("content", "analytics", "content_memory")))
+
+
 @query("status_missing", """
     select status from (values ('published'), ('in_review'), ('quality_failed'), ('approved'), ('rejected')) t(status)
     where status not in (select status from content_v)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from castwise import params as P
-from castwise.catalog.base import half_up, query, table, view
+from castwise.catalog.base import half_up, query, table
 from castwise.catalog.selections import SIGNALS, _hits, _strip
-from castwise.functions import clock, scores, text
-from castwise.plans import documentary, performance, quality, timeline
+from castwise.functions import clock, passes, scores, text
+from castwise.plans import documentary, performance, timeline
 
 BEATS = {"setup": ("the ", "elle", "ich"), "conflict": ("but", "ung"), "turn": ("then", "tion"), "lesson": ("us", "que")}
 EMOTION = ("her", "that", "and", "der", "elle", "con")
@@ -31,11 +31,10 @@ def _docs(spark, folder):
     from documents
 """)
 def text_profile(spark, folder):
-    body = F.col("text")
-    n = text.word_count(body).cast("long")
+    told = passes.normal_and_words(F.col("text"))
     return _docs(spark, folder).select(
-        "doc_id", text.normalise(body).alias("normal"), n.alias("words"),
-        text.reading_seconds(n).alias("seconds"), text.summary(body).alias("summary"))
+        "doc_id", told["normal"].alias("normal"), told["words"].alias("words"),
+        text.reading_seconds(told["words"]).alias("seconds"), text.summary(F.col("text")).alias("summary"))
 
 
 @query("short_labels", r"""
@@ -54,8 +53,8 @@ def short_labels(spark, folder):
     body = F.col("text")
     return _docs(spark, folder).select(
         "doc_id", text.overlay(body).alias("overlay"), text.headline(body).alias("headline"),
-        text.fit(body, 90).alias("fitted"), text.visual_hint(body).alias("hint"),
-        text.title_case(F.array_join(text.words(body), " ")).alias("titled"))
+        text.fit(body, 90).alias("fitted"), passes.visual_hint(body).alias("hint"),
+        passes.title_case(F.trim(F.regexp_replace(body, r"\s+", " "))).alias("titled"))
 
 
 @query("keywords", r"""
@@ -68,7 +67,7 @@ def short_labels(spark, folder):
 def keywords(spark, folder):
     base = F.array(F.col("lang"), *[F.lit(w) for w in P.KEYWORD_BASE])
     return _docs(spark, folder).select(
-        "doc_id", F.array_join(text.keywords(F.col("text"), base), " ").alias("keywords"))
+        "doc_id", F.array_join(passes.keywords(F.col("text"), base), " ").alias("keywords"))
 
 
 @query("search_phrase", rf"""
@@ -80,17 +79,19 @@ def keywords(spark, folder):
     select d.doc_id, coalesce(string_agg(w, ' ' order by i), '') as phrase from documents d left join k on k.doc_id = d.doc_id and rn <= 4 group by 1
 """)
 def search_phrase(spark, folder):
-    return _docs(spark, folder).select("doc_id", text.search_phrase(F.col("text"), STOP).alias("phrase"))
+    return _docs(spark, folder).select("doc_id", passes.search_phrase(F.col("text"), STOP).alias("phrase"))
 
 
 # the prose has no section markers, so a sectioned reply is built from it
-_REPLY_SQL = """case when doc_id % 5 = 0 then text else '[HOOK] ' || left(text, 80) || chr(10) || '[INTRODUCTION]' || coalesce(source, '')
+_HOOKS = "(select conv_id, {0}(text, turn) as hook from conversations group by conv_id)"
+_REPLY_SQL = """case when doc_id % 5 = 0 then text else '[HOOK] ' || coalesce(hook, lang) || chr(10) || '[INTRODUCTION]' || coalesce(source, '')
   || ' [note] ' || lang || chr(10) || chr(10) || chr(10) || chr(10) || '[BODY] ' || text || ' [CTA]' ||
   case when doc_id % 3 = 0 then '' else ' follow' end || ' [HOOK] last ' || doc_id end"""
 
 
 def _replies(spark, folder):
-    return _docs(spark, folder).select(F.col("doc_id").alias("id"), F.expr(_REPLY_SQL.replace("chr(10)", "'\\n'")).alias("reply"))
+    hooks = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("hook"))
+    return _docs(spark, folder).join(hooks, "doc_id", "left").select(F.col("doc_id").alias("id"), F.expr(_REPLY_SQL.replace("chr(10)", "'\\n'")).alias("reply"))
 
 
 def _section(name: str) -> str:
@@ -104,7 +105,7 @@ def _dropped(x: str) -> str:
 
 
 _SECTIONS = rf"""
-    with r as (select doc_id as id, {_REPLY_SQL} as reply from documents),
+    with r as (select doc_id as id, {_REPLY_SQL} as reply from documents left join {_HOOKS.format('arg_min')} on conv_id = doc_id),
     s as (select id, reply, regexp_extract_all(reply, '\[([A-Z]+)\]', 1) as hs, string_split_regex(reply, '\[[A-Z]+\]')[2:] as bs from r),
     z as (
       select id, case when len(hs) > 0 then list_transform(list_zip(hs, bs), lambda t: {{'k': t[1], 'v': {_strip('t[2]')}}})
@@ -118,7 +119,7 @@ _SECTIONS = rf"""
     from z
 """)
 def section_parse(spark, folder):
-    found = _replies(spark, folder).withColumn("s", text.sections(F.col("reply")))
+    found = _replies(spark, folder).withColumn("s", passes.sections(F.col("reply")))
     pick = lambda n: F.coalesce(F.try_element_at("s", F.lit(n)), F.lit("")).alias(n.lower())
     return found.select("id", pick("HOOK"), pick("INTRODUCTION"), pick("BODY"), pick("CTA"), F.size("s").alias("sections"))
 
@@ -141,7 +142,7 @@ def script_build(spark, folder):
 """)
 def banned_phrases(spark, folder):
     body = F.concat("text", F.lit("\n\n\n\n"), F.upper("text"))
-    return _docs(spark, folder).select("doc_id", text.drop_phrases(body, PHRASES).alias("cleaned"))
+    return _docs(spark, folder).select("doc_id", passes.drop_phrases(body, PHRASES).alias("cleaned"))
 
 
 @query("prompt_table", r"""
@@ -202,12 +203,17 @@ _STORY = rf"""
           / len(ls) / greatest(1.0::double, list_sum(ls)::double / len(ls)) * 200) else 40.0 end as variety from t),
     st as (
       select *, case when coalesce(text, '') = '' then 0.0::double else
-        round(0.4::double * beat + 0.25::double * emo + 0.15::double * variety + 0.2::double * case when doc_id % 2 = 0 then 100 else 60 end, 1) end as story from u)
+        round(0.4::decimal(3,2) * beat::decimal(14,6) + 0.25::decimal(3,2) * emo::decimal(14,6) + 0.15::decimal(3,2) * variety::decimal(14,6)
+          + 0.2::decimal(3,2) * case when {_strip("split_part(text, chr(10), 1)")} <> '' and contains(text, chr(10))
+              and {_strip("split_part(text, chr(10), -1)")} <> '' then 100 else 60 end, 1)::double end as story from u)
 """
 
 
 def _story():
-    return scores.storytelling(F.col("text"), F.col("doc_id") % 2 == 0, BEATS, EMOTION)
+    """The first line introduces a text, the last one of several ends it."""
+    body = F.col("text")
+    ending = F.when(F.contains(body, F.lit("\n")), F.substring_index(body, "\n", -1))
+    return scores.storytelling(body, scores.structured(F.substring_index(body, "\n", 1), ending), BEATS, EMOTION)
 
 
 @query("storytelling", _STORY + "select doc_id, story as storytelling from st")
@@ -215,78 +221,6 @@ def storytelling(spark, folder):
     return _docs(spark, folder).select("doc_id", _story().alias("storytelling"))
 
 
-_RETENTION = _STORY + rf""",
-    rt as (
-      select *, cast(doc_id % 36 + 65 as double) as hook,
-        case when n_chars = 0 then null else round(greatest(1, len(regexp_extract_all(text, '\S+'))) / 155.0::double * 60.0::double, 2) end as secs,
-        case doc_id % 4 when 0 then null else (doc_id % 40) / 4.0::double end as pace from st),
-    ra as (
-      select *, least(100.0::double, greatest(0.0::double, 0.45::double * hook + 0.25::double * story
-        + case when contains(source, '?') or contains(lower(source), 'src1') then 8 else 0 end
-        + case when pace <= 5.5 then 6 when pace > 8 then -6 else 0 end
-        + case when secs is null or secs = 0 then 0 when secs between 45 and 75 then 6 else -6 end)) as raw from rt),
-    pr as (select *, {half_up('raw', 1)} as retention from ra)
-"""
-
-
-def _with_retention(spark, folder):
-    hook = (F.col("doc_id") % 36 + 65).cast("double")
-    secs = F.when(F.col("n_chars") != 0, text.reading_seconds(text.word_count(F.col("text"))))
-    pace = F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 40) / 4.0)
-    base = _docs(spark, folder).select("doc_id", "source", hook.alias("hook"), secs.alias("secs"), pace.alias("pace"), _story().alias("story"))
-    low, high = P.QualityRules().target_seconds["short"]
-    return base.withColumn("retention", scores.retention_prediction(
-        F.col("hook"), F.col("story"), F.col("source"), F.col("pace"), F.col("secs"), F.lit(low), F.lit(high), ("src1",)))
-
-
-@query("retention_prediction", _RETENTION + "select doc_id, retention as retention_prediction from pr")
-def retention_prediction(spark, folder):
-    return _with_retention(spark, folder).select("doc_id", F.col("retention").alias("retention_prediction"))
-
-
-_CARD = _RETENTION + """,
-    q as (
-      select p.doc_id, cast(p.doc_id % 21 + 80 as double) as fact, cast(p.doc_id % 41 + 60 as double) as orig, hook, story, retention,
-        coalesce(quality = 1, false) as audio, coalesce(toxic = 0, false) as visual, p.doc_id % 9 = 0 as own
-      from pr p left join labels l on l.doc_id = p.doc_id),
-    r as (
-      select *, case when own then 17.0::double else 6.0::double end as risk,
-        round(0.22::double * fact + 0.20::double * orig + 0.18::double * hook + 0.18::double * story + 0.12::double * retention
-          + 0.10::double * case when audio and visual then 100.0::double else 50.0::double end, 1) as overall from q),
-    s as (
-      select *, array_to_string(list_filter([
-        case when fact < 90 then 'fact_score ' || fact || ' < 90' end, case when orig < 85 then 'originality ' || orig || ' < 85' end,
-        case when hook < 80 then 'hook_score ' || hook || ' < 80' end, case when not audio then 'audio check failed' end,
-        case when not visual then 'visual check failed' end, case when overall < 70 then 'overall ' || overall || ' < 70' end],
-        lambda x: x is not null), '|') as reasons from r)
-"""
-
-
-def _judged(spark, folder):
-    labels = table(spark, folder, "labels")
-    items = _with_retention(spark, folder).join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 21 + 80).alias("fact_score"), (F.col("doc_id") % 41 + 60).alias("originality"),
-        F.col("hook").alias("hook_score"), F.col("story").alias("storytelling"), "retention",
-        (F.col("quality") == 1).alias("audio_ok"), (F.col("toxic") == 0).alias("visual_ok"), (F.col("doc_id") % 9 == 0).alias("user_tracks"))
-    return quality.scorecard(items)
-
-
-@query("quality_scorecard", _CARD + """
-    select doc_id as id, overall, risk as copyright_score, 'low' as copyright_risk, reasons, reasons = '' as passed,
-           7::integer as card_size, fact as card_fact from s
-""")
-def quality_scorecard(spark, folder):
-    return _judged(spark, folder).select(
-        "id", "overall", "copyright_score", "copyright_risk", F.array_join("reasons", "|").alias("reasons"), "passed",
-        F.size("scorecard").alias("card_size"), F.try_element_at("scorecard", F.lit("fact_confidence")).alias("card_fact"))
-
-
-@query("approval", _CARD + "select doc_id as id, reasons = '' as by_gate, overall >= 85 as by_score from s")
-def approval(spark, folder):
-    judged = quality.approve(_judged(spark, folder)).withColumnRenamed("approved", "by_gate")
-    return quality.approve(judged, require_pass=False).select("id", "by_gate", F.col("approved").alias("by_score"))
-
-
 @query("score_bands", """
     select event_id, case when value * 3 < 34 then 'low' when value * 3 < 67 then 'medium' else 'high' end as risk,
            case when value >= 60 then 'worked' else 'failed' end as outcome,
@@ -326,11 +260,15 @@ _SCENES = rf"""
 """
 
 
+def _script_of():
+    return F.concat("text", F.lit(" [BODY] "), "lang", F.lit(". End of it!"))
+
+
 def _scripts(spark, folder):
     return _docs(spark, folder).select(
         F.col("doc_id").alias("run_id"), F.col("source").alias("title"),
-        F.concat("text", F.lit(" [BODY] "), "lang", F.lit(". End of it!")).alias("script"),
-        text.reading_seconds(text.word_count(F.col("text"))).alias("narration_seconds"))
+        _script_of().alias("script"),
+        text.reading_seconds(passes.word_count(F.col("text"))).alias("narration_seconds"))
 
 
 def _scenes(spark, folder):
@@ -354,7 +292,7 @@ def scene_plan(spark, folder):
            """ + half_up("cast(sum(cast(duration as decimal(18, 2))) as double) / count(*)", 2) + """ as avg_duration from plan group by 1
 """)
 def plan_totals(spark, folder):
-    return timeline.plan_totals(_scenes(spark, folder))
+    return timeline.totals_in_row(timeline.scene_rows(_scripts(spark, folder)))
 
 
 _RESCALED = _SCENES + r""",

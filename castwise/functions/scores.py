@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from castwise import params as P
+from castwise.functions import passes
 from castwise.functions import text as X
 
 
@@ -120,46 +121,27 @@ def storytelling(
     emotion_words: Iterable[str] = P.EMOTION_WORDS,
 ) -> Column:
     """Narrative beats, emotive words, sentence-length variety and structure; blank text scores 0."""
-    found = sum(X.contains_any(text, group).cast("int") for group in beats.values())
-    beat_part = found / F.lit(float(len(beats))) * 100
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    lexicon = F.array(*[F.lit(w) for w in emotion_words])
-    # folds, so that the token and clause lists are built once
-    emotion_part = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits")),
-        lambda acc, w: F.struct((acc["n"] + 1).alias("n"), (acc["hits"] + F.array_contains(lexicon, w).cast("int")).alias("hits")),
-        lambda acc: F.least(F.lit(100.0), acc["hits"] / F.greatest(F.lit(1), acc["n"]) * 4000),
+    found = passes.story_counts(text, beats.values(), emotion_words)
+    beat_part = found["beats"] / F.lit(float(len(beats))) * 100
+    emotion_part = F.least(F.lit(100.0), found["hits"] / F.greatest(F.lit(1), found["tokens"]) * 4000)
+    total = (
+        weight(0.4) * exact(beat_part) + weight(0.25) * exact(emotion_part)
+        + weight(0.15) * exact(_variety(*(found[c].cast("double") for c in ("clauses", "words", "squares"))))
+        + weight(0.2) * F.when(structured, 100).otherwise(60)
     )
-    lengths = F.transform(X.clauses(text), lambda s: X.word_count(s).cast("double"))
-    return F.when(
-        X.present(text),
-        F.round(
-            F.lit(0.4) * beat_part
-            + F.lit(0.25) * emotion_part
-            + F.lit(0.15) * _variety(lengths)
-            + F.lit(0.2) * F.when(structured, 100).otherwise(60),
-            1,
-        ),
-    ).otherwise(F.lit(0.0))
-
-
-def _variety(lengths: Column) -> Column:
+    return F.when(X.present(text), rounded(total)).otherwise(F.lit(0.0))
+
+
+def structured(introduction: Column, ending: Column) -> Column:
+    """A script has structure if it has an introduction and an ending."""
+    return X.present(X.strip(introduction)) & X.present(X.strip(ending))
+
+
+def _variety(n: Column, total: Column, squares: Column) -> Column:
     """Spread of sentence lengths against their mean (population form); 40 for two sentences or fewer."""
-    def spread(acc: Column) -> Column:
-        n, total, squares = acc["n"], acc["total"], acc["squares"]
-        # n * sum(x^2) - sum(x)^2 is exact on whole numbers, so no digit is lost before the root
-        deviation = F.sqrt(n * squares - total * total) / n
-        return F.when(n > 2, F.least(F.lit(100.0), deviation / F.greatest(F.lit(1.0), total / n) * 200)).otherwise(40.0)
-
-    zero = F.lit(0.0)
-    return F.aggregate(
-        lengths,
-        F.struct(zero.alias("n"), zero.alias("total"), zero.alias("squares")),
-        lambda acc, x: F.struct(
-            (acc["n"] + 1.0).alias("n"), (acc["total"] + x).alias("total"), (acc["squares"] + x * x).alias("squares")),
-        spread,
-    )
+    # n * sum(x^2) - sum(x)^2 is exact on whole numbers, so no digit is lost before the root
+    deviation = F.sqrt(n * squares - total * total) / n
+    return F.when(n > 2, F.least(F.lit(100.0), deviation / F.greatest(F.lit(1.0), total / n) * 200)).otherwise(40.0)
 
 
 def retention_prediction(

@@ -97,21 +97,26 @@ def fit(c: Column, limit: int | Column) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(cut, F.lit("…")))
 
 
+def first_words(c: Column, limit: int) -> Column:
+    """Up to ``limit`` words from the start; the rest of the text is not split."""
+    return words(F.regexp_extract(c, rf"^\s*(?:\S+\s+){{0,{limit - 1}}}\S*", 0))
+
+
 def overlay(c: Column, limit: int = 8) -> Column:
-    w = words(c)
+    w = first_words(c, limit + 1)
     return F.concat(
         F.array_join(F.slice(w, 1, limit), " "), F.when(F.size(w) > limit, F.lit("…")).otherwise(F.lit(""))
     )
 
 
 def headline(c: Column, limit: int = 6) -> Column:
-    return F.upper(F.array_join(F.slice(words(c), 1, limit), " "))
+    return F.upper(F.array_join(first_words(c, limit), " "))
 
 
 def visual_hint(c: Column, limit: int = 6) -> Column:
     """The first words longer than four letters, as a picture subject."""
-    runs = F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))
-    subject = F.array_join(F.slice(F.filter(runs, lambda w: F.length(w) > 4), 1, limit), ", ")
+    runs = F.regexp_extract_all(c, F.lit("[A-Za-z]{5,}"), F.lit(0))
+    subject = F.array_join(F.slice(runs, 1, limit), ", ")
     return or_else(subject, F.lit("abstract concept"))
 
 

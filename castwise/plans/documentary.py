@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwise import params as P
-from castwise.functions import text
+from castwise.functions import passes, text
 from castwise.operators.ranking import first_occurrence, top_per_group
 
 SECTIONS = ("HOOK", "INTRODUCTION", "BODY", "ENDING", "CTA")
@@ -55,7 +55,7 @@ def assemble(documentaries: DataFrame, cta: str) -> DataFrame:
     ), "\n\n")
     return documentaries.select(
         "id", intro.alias("introduction"), F.array_join(blocks, "\n\n").alias("body"), ending.alias("ending"),
-        full.alias("full_text"), text.word_count(full).cast("long").alias("word_count"),
+        full.alias("full_text"), passes.word_count(full).alias("word_count"),
         F.concat(F.lit("documentary-"), F.size("chapters").cast("string"), F.lit("-chapters")).alias("structure"),
     )
 
@@ -63,16 +63,16 @@ def assemble(documentaries: DataFrame, cta: str) -> DataFrame:
 def script_from_reply(replies: DataFrame, hook: str | None = None, banned: Sequence[str] = P.BANNED_PHRASES,
                       cta: str = "") -> DataFrame:
     """Sections of (id, reply), cleaned of banned phrases, and the joined script. A given hook column leads it."""
-    parsed = replies.withColumn("__s", text.sections(F.col("reply")))
+    parsed = replies.withColumn("__s", passes.sections(F.col("reply")))
     cells = {}
     for name in SECTIONS:
         found = F.try_element_at("__s", F.lit(name))
         if name == "HOOK" and hook:
             found = text.or_else(F.col(hook), found)
-        cells[name] = text.drop_phrases(F.coalesce(found, F.lit("")), banned)
+        cells[name] = passes.drop_phrases(F.coalesce(found, F.lit("")), banned)
     parts = parsed.select("id", *[c.alias(n.lower()) for n, c in cells.items()],
                           F.map_contains_key("__s", "CTA").alias("__has_cta"))
     full = text.join_present([F.col(n.lower()) for n in SECTIONS])
-    return parts.withColumn("full_text", full).withColumn("word_count", text.word_count(full).cast("long")).withColumn(
+    return parts.withColumn("full_text", full).withColumn("word_count", passes.word_count(F.col("full_text"))).withColumn(
         "cta", F.when(F.col("__has_cta"), F.col("cta")).otherwise(F.lit(cta))
     ).drop("__has_cta")

@@ -55,6 +55,14 @@ def analytics_summary(content: DataFrame, analytics: DataFrame) -> DataFrame:
     )
 
 
+def stored_performance(content: DataFrame, analytics: DataFrame, memory: DataFrame) -> DataFrame:
+    """Every remembered content with its summed analytics. On tables in buckets of the video nothing is shuffled."""
+    sums = per_video(analytics).select(
+        F.col("video_id").alias("id"), "views", F.round(_mean(F.col("retention_sum"), F.col("retention_n")), 1).alias("retention"))
+    known = memory.select(F.col("video_id").alias("id"), "hook_type", "performance_score")
+    return content.select("id", "category", "status").join(sums, "id", "left").join(known, "id")
+
+
 def retention_by_category(content: DataFrame, analytics: DataFrame) -> DataFrame:
     """Mean retention per category over every status; categories without analytics do not appear."""
     return (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _L, _D, _B, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
@@ -54,6 +55,9 @@ TABLES = {
 
 # Columns that partition a stored table. None of them changes once a row is stored: updates rewrite
 # whole partitions, and a row that moved to another one would leave its old copy behind.
+# Tables that are joined on the video are cut into the same buckets by it, so joins and per-video sums need no shuffle.
+BUCKETED = {"content": "id", "content_memory": "video_id", "analytics": "video_id", "hooks": "content_id", "thumbnails": "content_id", "sources": "content_id"}
+
 PARTITIONS = {"content": ("category",), "analytics": ("platform",), "agent_runs": ("agent",)}
 
 REVIEW_RECORD = T.StructType([
@@ -79,8 +83,13 @@ FILE_LISTING = (
 IMAGE_LISTING = "results array<struct<url:string,title:string,license:string,creator:string,source:string>>"
 
 
-def create_tables(spark: SparkSession, database: str | None = None, reset: bool = False) -> None:
-    """Create the tables that do not exist; with ``reset`` drop them all first."""
+def create_tables(spark: SparkSession, database: str | None = None, reset: bool = False, buckets: int | None = None) -> None:
+    """Create the tables that do not exist; with ``reset`` drop them all first.
+
+    Tables in ``BUCKETED`` get ``buckets`` buckets sorted by the video. Take as many as keep a bucket at a few hundred megabytes,
+    and not fewer than ``spark.sql.shuffle.partitions`` (the default), or Spark prefers a shuffle to a join of fewer tasks.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prefix = f"{database}." if database else ""
     for name, schema in TABLES.items():
         if reset:
@@ -88,4 +97,21 @@ def create_tables(spark: SparkSession, database: str | None = None, reset: bool
         parts = PARTITIONS.get(name, ())
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         by = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet{by}")
+        key = BUCKETED.get(name)
+        cut = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet{by}{cut}")
+
+
+def append_rows(rows: DataFrame, name: str, database: str | None = None) -> None:
+    """Append rows to one of the tables by column name; columns that ``rows`` lacks are NULL.
+
+    Rows are dealt as the buckets are, so every bucket of a partition gets one file and not one per task.
+    """
+    spark, full = rows.sparkSession, f"{database}.{name}" if database else name
+    schema = spark.table(full).schema
+    given = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in schema]
+    told = rows.select(*[c.alias(f.name) for c, f in zip(given, schema)])
+    if name in BUCKETED:
+        cut = next(int(r["data_type"]) for r in spark.sql(f"DESCRIBE EXTENDED {full}").collect() if r["col_name"] == "Num Buckets")
+        told = told.repartition(cut, BUCKETED[name])
+    told.write.insertInto(full)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from castwise import schemas
 from castwise.catalog.base import ORACLES, QUERIES, query, table, view
+from castwise.operators import rollups
 from castwise.operators.joins import for_each
 from castwise.operators.sequences import positions
 from castwise.plans import audit, packaging, performance, review
 from castwise.session import scratch_dir
 from castwise.sources import readers, writers
+from castwise.streaming import ingest
 
 # review records of the produced content, and publishing results of every third run
 _RECORDS = """
@@ -155,12 +157,44 @@ def review_scan(spark, folder):
     marks = stages.select(run("l_suppkey").alias("run"), F.to_json(F.struct(
         run("l_suppkey").alias("run_id"), F.col("s").alias("completed_stages"))).alias("value"))
     writers.documents(marks, f"{root}/checkpoints", "run")
-    bundles = readers.json_documents(spark, f"{root}/bundles/*/*", schemas.REVIEW_RECORD)
-    points = readers.json_documents(spark, f"{root}/checkpoints/*/*", schemas.CHECKPOINT)
+    bundles = readers.json_documents(spark, f"{root}/bundles", schemas.REVIEW_RECORD)
+    points = readers.json_documents(spark, f"{root}/checkpoints", schemas.CHECKPOINT)
     joined = bundles.join(points.select("run_id", F.size("completed_stages").cast("long").alias("stages")), "run_id", "left")
     return positions(joined.withColumn("__all", F.lit(0)), ["__all"], [F.col("path")]).select("run_id", "title", "status", "stages", "position")
 
 
+@query("review_ingest", """
+    select case when s_acctbal < 0 then null else 'run-' || lpad(s_suppkey::varchar, 9, '0') end as run_id,
+           case when s_acctbal < 0 then null else s_name end as title, case when s_acctbal < 0 then 'broken ' || s_name end as bad_record from supplier
+""")
+def review_ingest(spark, folder):
+    """Bundles landed as they come: those of the first nations, then only the others. Documents that are no JSON stay as text."""
+    root = _folder(spark, "ingest")
+    run = F.concat(F.lit("run-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    document = F.when(F.col("s_acctbal") < 0, F.concat(F.lit("broken "), "s_name")).otherwise(
+        F.to_json(F.struct(run.alias("run_id"), F.lit("approved").alias("status"), F.col("s_name").alias("title"))))
+    records = table(spark, folder, "supplier").select(run.alias("run"), "s_nationkey", document.alias("value"))
+    for name, some in (("first", records.filter("s_nationkey < 12")), ("rest", records.filter("s_nationkey >= 12"))):
+        writers.documents(some, f"{root}/in/{name}", "run", "value")
+        ingest.land_documents(spark, f"{root}/in/*", f"{root}/landed", schemas.REVIEW_RECORD)
+    return ingest.landed(spark, f"{root}/landed").select("run_id", "title", "bad_record")
+
+
+@query("rollup_replaced", """
+    with a as (select * from analytics_v where platform <> 'R' or views > 10),
+    s as (select video_id, count(*) as rows, sum(views) as views, sum(cast(retention as decimal(18, 4))) as retention, count(retention) as rated from a group by 1)
+    select category, sum(rows)::bigint as rows, sum(views)::bigint as views, round(sum(retention)::double / sum(rated)::double, 1) as avg_retention
+    from s join content_v on id = video_id group by 1
+""", ["analytics_v", "content_v"])
+def rollup_replaced(spark, folder):
+    """Analytics of every platform as a batch of its own; one batch comes again, smaller, and takes its first version out."""
+    path, analytics = _folder(spark, "rollup"), view(spark, folder, "analytics_v")
+    for platform in ("A", "N", "R"):
+        rollups.store_batch(analytics.filter(F.col("platform") == platform), path, platform)
+    rollups.store_batch(analytics.filter("platform = 'R' and views > 10"), path, "R")
+    return rollups.by_category(rollups.totals(spark, path), view(spark, folder, "content_v"))
+
+
 @query("stored_performance", """
     with a as (select video_id, sum(views)::bigint as views, round(sum(cast(retention as decimal(18, 4)))::double / count(retention), 1) as retention
                from analytics_v group by 1)

@@ -65,8 +65,10 @@ def insert_absent(
 
 
 def documents(rows: DataFrame, path: str, key: str, value: str = "value") -> None:
-    """One file per row below ``<key>=<...>``: for hand-sized exports such as review bundles, not for tables."""
-    rows.select(key, value).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+    """One file per row, named in the order of ``key``: for hand-sized exports such as review bundles, not for tables."""
+    tasks = max(1, -(-rows.count() // 500))  # file numbers within a task keep their order below a thousand
+    ordered = rows.select(key, value).repartitionByRange(tasks, key).sortWithinPartitions(key)
+    ordered.select(value).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def json_report(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
@@ -79,15 +81,14 @@ def single_document(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
-def text_table(lines: DataFrame, path: str, order: str, line: str, buckets: int = 64) -> None:
-    """All runs' texts as one table (run_id, text) in ``buckets`` folders by hash, however many runs there are.
+def text_table(lines: DataFrame, path: str, order: str, line: str) -> None:
+    """All runs' texts as one table (run_id, text), ranges of runs in files of Spark's advisory size.
 
-    A run's lines are put in order and joined inside its row.
+    A run's lines are put in order and joined inside its row. The number of files follows the bytes, not the runs.
     """
     texts = lines.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("t"))
-    bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
-    rows = texts.select("run_id", F.array_join(F.transform("t", lambda x: x["l"]), "\n").alias("text"), bucket.alias("bucket"))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = texts.select("run_id", F.array_join(F.transform("t", lambda x: x["l"]), "\n").alias("text"))
+    rows.hint("rebalance", "run_id").sortWithinPartitions("run_id").write.mode("overwrite").parquet(path)
 
 
 def caption_files(cues: DataFrame, path: str, runs: Sequence[object]) -> None:

@@ -7,10 +7,15 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from castwise.session import scratch_dir
 from castwise.sources.writers import append_batch
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FOLD_AFTER = 16  # micro-batches whose changed rows are kept apart
+
 
 def arriving(spark: SparkSession, path: str, like: DataFrame, max_files: int = 1000) -> DataFrame:
     """A stream over the Parquet files that land under ``path``, a folder or a pattern."""
@@ -24,48 +29,64 @@ def per_video(analytics: DataFrame) -> DataFrame:
         F.sum(F.col("retention").cast("decimal(18,4)")).cast("decimal(28,4)").alias("retention"), F.count("retention").alias("rated"))
 
 
+def keyed_stream(sums: DataFrame, folder: str, fold_after: int = FOLD_AFTER) -> None:
+    """Keep ``sums``, a streaming aggregation by one key, in the engine's state store and its changed rows in ``folder``.
+
+    A micro-batch writes one row for every key it changed, below ``changed/batch=<id>``; a repeated one writes the same
+    again. Every ``fold_after`` batches the last row of each key goes to ``folded`` and the folders before it are emptied.
+    """
+    spark = sums.sparkSession
+    schema = sums.schema
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={batch_id}")
+        if (batch_id + 1) % fold_after == 0:
+            current(spark, folder, schema).write.mode("overwrite").parquet(f"{folder}/folded/upto={batch_id}")
+            for old in range(batch_id - fold_after + 1, batch_id + 1):
+                spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/changed/batch={old}")
+            if batch_id >= fold_after:
+                spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/folded/upto={batch_id - fold_after}")
+
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)  # keys live in the store on disk, not on the executors' heap
+    try:
+        (sums.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{folder}/progress")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, before)
+
+
+def current(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The last row of every key of ``keyed_stream``."""
+    parts = []
+    for kind, number in (("folded", "upto"), ("changed", "batch")):
+        try:
+            parts.append(spark.read.schema(schema).option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}").select(
+                *schema.names, F.col(number).cast("long").alias("number_of_batch")))
+        except AnalysisException:  # nothing has arrived, or nothing is folded yet
+            continue
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    key, rest = schema.names[0], schema.names[1:]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "number_of_batch").alias("last"))
+    return last.select(key, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
 def retention_by_category(analytics: DataFrame, content: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Views and mean retention per category of everything that has arrived: a stream of analytics against the content table.
 
-    Every micro-batch is reduced per video and added to the stored sums, in a new version of them; the raw
-    rows never meet the content table, and only the last two versions are kept. Content is joined once,
-    with one row per video. Pass the same ``folder`` again to go on where it stopped.
+    Sums per video are a stateful aggregation; the raw rows never meet the content table, which is joined once with one
+    row per video. Pass the same ``folder`` again to go on where it stopped.
     """
     spark = analytics.sparkSession
     base = folder or f"{scratch_dir(spark)}/castwise/stream-{label}-{uuid.uuid4().hex}"
-    schema = per_video(spark.createDataFrame([], analytics.schema)).schema
-
-    def stored() -> DataFrame | None:
-        try:
-            return spark.read.schema(schema).parquet(f"{base}/sums")
-        except AnalysisException:  # nothing has arrived yet
-            return None
-
-    def latest(below: int | None = None) -> DataFrame | None:
-        versions = stored()
-        if versions is None:
-            return None
-        known = versions if below is None else versions.filter(F.col("version") < below)
-        newest = known.agg(F.max("version")).first()[0]
-        return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        new, before = per_video(batch), latest(batch_id)
-        if before is not None:
-            new = new.unionByName(before).groupBy("video_id").agg(*[
-                F.sum(c).cast(schema[c].dataType).alias(c) for c in schema.names if c != "video_id"])
-        new.write.mode("overwrite").parquet(f"{base}/sums/version={batch_id}")
-        if batch_id > 1:
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/sums/version={batch_id - 2}")
-
-    (
-        analytics.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    sums = latest()
-    if sums is None:
-        sums = spark.createDataFrame([], schema)
-    return sums.join(content.select(F.col("id").alias("video_id"), "category"), "video_id").groupBy("category").agg(
+    sums = per_video(analytics)
+    keyed_stream(sums, base)
+    return current(spark, base, sums.schema).join(content.select(F.col("id").alias("video_id"), "category"), "video_id").groupBy("category").agg(
         F.sum("rows").alias("rows"), F.coalesce(F.sum("views"), F.lit(0)).cast("long").alias("total_views"),
         F.round(F.try_divide(F.sum("retention").cast("double"), F.sum("rated").cast("double")), 1).alias("avg_retention"))
 

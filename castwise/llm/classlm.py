@@ -22,13 +22,13 @@ WEIGHT = 0.95  # of the class model against the base model
 KNOWN = 1 << 17  # most frequent words that every task holds, at most; all others are looked up by a join
 STEPS_PER_OCTAVE = 16  # of the histogram of word counts that the most frequent words are cut off with
 KNOWN_BYTES = 64  # longer words are never among them, so the table has a fixed size at most
-EXCHANGED = 1 << 13  # most frequent words that are clustered; all others form one class
+EXCHANGED = 1 << 13  # most frequent words that exchange classes; the other known ones take the class of largest gain then
 CLASSES = 64
 PASSES = 6
 FLUSH = 200_000  # different words a task counts before it passes them on
 BLOCK = 64  # words whose context counts travel together
 
-# Class 0 holds the end token, class 1 all words that are not clustered, seen or not.
+# Class 0 holds the end token, class 1 all words that tasks do not know, seen or not.
 END_CLASS, OTHER_CLASS, FIRST_CLASS = 0, 1, 2
 
 
@@ -65,14 +65,14 @@ def _ids(texts: DataFrame, ids: dict[bytes, int], other: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = ids.get
         for batch in batches:
-            seqs = [np.fromiter((get(w, other) for w in tokens(x.as_py())), np.uint16).tobytes() for x in batch.column("data")]
+            seqs = [np.fromiter((get(w, other) for w in tokens(x.as_py())), np.uint32).tobytes() for x in batch.column("data")]
             yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary())], ["ids"])
 
     return texts.select("data").mapInArrow(run, "ids binary")
 
 
 def _contexts(sequences: DataFrame, word_class: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts ``[word, class]`` of the classes before and behind every clustered word.
+    """Counts ``[word, class]`` of the classes before and behind every word of the core; the last entry stands for all others.
 
     Each task sums its texts in two tables of fixed size and passes them on in blocks of words;
     the blocks are added up as they arrive. What reaches the driver depends on the number of
@@ -85,7 +85,7 @@ def _contexts(sequences: DataFrame, word_class: np.ndarray, classes: int) -> tup
         left, right = np.zeros(words * classes, np.int64), np.zeros(words * classes, np.int64)
         for batch in batches:
             joined = b"".join(x.as_py() for x in batch.column("ids"))
-            seq = np.concatenate([[0], np.frombuffer(joined, np.uint16)]).astype(np.int64)
+            seq = np.minimum(np.concatenate([[0], np.frombuffer(joined, np.uint32)]).astype(np.int64), words - 1)
             kind = word_class[seq]
             left += np.bincount(seq[1:] * classes + kind[:-1], minlength=words * classes)
             right += np.bincount(seq[:-1] * classes + kind[1:], minlength=words * classes)
@@ -153,6 +153,67 @@ def exchange(word_class: np.ndarray, left: np.ndarray, right: np.ndarray) -> int
     return moved
 
 
+def _assigned(sequences: DataFrame, core: np.ndarray, table: np.ndarray, known: int) -> np.ndarray:
+    """Classes of all ``known`` words and, last, of the others: those outside the core take the class that gains most
+    mutual information with their own neighbours' classes.
+
+    Tasks pass on how often a word stands beside a class, batches of texts added up before; so a word in every
+    text is a few rows a task. The driver receives one class a word, at most ``KNOWN``.
+    """
+    kinds, others = len(table), len(core) - 1
+    kind_of = np.concatenate([core[:others], np.full(known + 1 - others, OTHER_CLASS)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids in batch.column("ids"):
+                seq = np.concatenate([[0], np.frombuffer(ids.as_py(), np.uint32)]).astype(np.int64)
+                at = np.flatnonzero((seq >= others) & (seq < known))  # the end token stands before and behind every text
+                word, kind = seq[at] * (2 * kinds), kind_of[seq]
+                key, n = np.unique(np.concatenate([word + kind[at - 1], word + kinds + kind[at + 1]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key // (2 * kinds)).astype(np.int32)), pa.array((key % (2 * kinds)).astype(np.int32)), pa.array(n)], ["word", "slot", "n"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, out_sum, in_sum = _entropy(table), table.sum(axis=1), table.sum(axis=0)
+        for batch in batches:
+            best = []
+            for beside in batch.column("beside").to_pylist():
+                both = np.zeros(2 * kinds)
+                both[[x["slot"] for x in beside]] = [x["n"] for x in beside]
+                l, r = both[:kinds], both[kinds:]
+                gain = (_entropy(table + r) - before).sum(axis=1) + (_entropy(table + l[:, None]) - before).sum(axis=0)
+                gain += _entropy(out_sum) - _entropy(out_sum + r.sum()) + _entropy(in_sum) - _entropy(in_sum + l.sum())
+                gain[:FIRST_CLASS] = -np.inf
+                best.append(int(gain.argmax()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(best, pa.int32())], ["word", "kind"])
+
+    if others >= known:
+        return kind_of
+    met = sequences.mapInArrow(count, "word int, slot int, n bigint").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    beside = met.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))  # two entries a class, at most
+    for word, kind in beside.mapInArrow(assign, "word int, kind int").collect():
+        kind_of[word] = kind
+    return kind_of
+
+
+def _transitions(sequences: DataFrame, kind_of: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each class follows each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                kind = kind_of[np.concatenate([[0], np.frombuffer(ids.as_py(), np.uint32)]).astype(np.int64)]
+                table += np.bincount(kind[:-1] * kinds + kind[1:], minlength=kinds * kinds)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+
+    out = np.zeros(kinds * kinds)
+    for at, n in sequences.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    return out.reshape(kinds, kinds)
+
+
 @dataclass
 class Model:
     """What a task needs to score: words it knows, their counts and classes, and the tables of both models."""
@@ -161,8 +222,8 @@ class Model:
     counts: np.ndarray  # [known word], and 0 for "not known here"
     word_class: np.ndarray  # [known word + 1]
     transition: np.ndarray  # [class, class]
-    emission: np.ndarray  # [known word + 1]; of clustered words and the end
-    other_space: float  # total of (c + ADD) over the unclustered words and the unseen one
+    emission: np.ndarray  # [known word + 1]; of words with a class and the end
+    other_space: float  # total of (c + ADD) over the words without a class and the unseen one
     base_space: float  # total of (c + ADD) over all words and the unseen one
     tokens: int
 
@@ -191,7 +252,8 @@ def train(texts: DataFrame, stage: Stage, classes: int = CLASSES, exchanged: int
           passes: int = PASSES) -> tuple[Model, DataFrame]:
     """The model of the ``data`` column and the staged ``word, c`` table of all its words.
 
-    All words of all texts are counted. The most frequent ones are clustered by exchange passes over the staged id sequences.
+    All words of all texts are counted. The most frequent ones exchange classes in passes over the staged id sequences, all other
+    known words then take the class of largest gain, and the transitions are counted with all of them.
     """
     counts = stage(word_counts(texts))
     total, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -214,29 +276,28 @@ def train(texts: DataFrame, stage: Stage, classes: int = CLASSES, exchanged: int
     number = np.array([count_of.get(w, 0) for w in words] + [0], np.float64)
 
     clustered = min(exchanged, len(words))
-    other = clustered  # the id of all words that are not clustered
     kinds = classes + FIRST_CLASS
     word_class = np.array([END_CLASS] + [FIRST_CLASS + i % classes for i in range(clustered - 1)] + [OTHER_CLASS])
-    sequences = stage(_ids(texts, {w: i for w, i in ids.items() if i < clustered}, other))
+    sequences = stage(_ids(texts, ids, len(words)))
     left, right = _contexts(sequences, word_class, kinds)
     for _ in range(passes):
         moved = exchange(word_class, left, right)
         left, right = _contexts(sequences, word_class, kinds)
         if moved < clustered // 100:
             break
-    stage.drop(sequences)
-
     table = np.zeros((kinds, kinds))
     np.add.at(table, word_class, right)
-    used = np.isin(np.arange(kinds), word_class)  # an empty class is never entered
+    full = _assigned(sequences, word_class, table, len(words))
+    table = _transitions(sequences, full, kinds)
+    stage.drop(sequences)
+
+    used = np.isin(np.arange(kinds), full)  # an empty class is never entered
     transition = (table + ADD_CLASS * used) / (table.sum(axis=1, keepdims=True) + ADD_CLASS * used.sum())
-    full = np.concatenate([word_class[:clustered], np.full(len(words) + 1 - clustered, OTHER_CLASS)])
-    mine = number[:clustered] + ADD
-    per_class = np.bincount(word_class[:clustered], mine, kinds)
+    mine = number[:-1] + ADD
     emission = np.zeros(len(words) + 1)
-    emission[:clustered] = mine / per_class[word_class[:clustered]]
-    clustered_types = int((number[:clustered] > 0).sum())
-    other_space = total - number[:clustered].sum() + ADD * (different - clustered_types + 1)
+    emission[:-1] = mine / np.bincount(full[:-1], mine, kinds)[full[:-1]]
+    known_types = int((number > 0).sum())
+    other_space = total - number.sum() + ADD * (different - known_types + 1)
     base_space = total + ADD * (different + 1)
     return Model(ids, number, full, transition, emission, other_space, base_space, total), counts
 

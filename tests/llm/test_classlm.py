@@ -106,3 +106,50 @@ def test_better_than_base_on_held_out(spark):
 
 def test_empty(frame):
     assert classlm.score_documents(frame([]), **OPTIONS).count() == 0
+
+
+def test_words_outside_the_core_take_the_class_of_largest_gain(spark):
+    """Against the mutual information of the whole class table with the word in each class, one by one."""
+    r = np.random.default_rng(6)
+    kinds, core, known = 6, 12, 30
+    core_class = np.concatenate([[classlm.END_CLASS], classlm.FIRST_CLASS + np.arange(core - 1) % 4, [classlm.OTHER_CLASS]])
+    texts = [np.concatenate([r.integers(1, known + 1, int(r.integers(0, 40))), [0]]).astype(np.uint32) for _ in range(60)]
+    sequences = spark.createDataFrame([(bytearray(b"".join(t.tobytes() for t in texts[i: i + 7])),) for i in range(0, 60, 7)], "ids binary")
+    table = r.integers(1, 50, (kinds, kinds)).astype(float)
+    got = classlm._assigned(sequences, core_class, table, known)
+    kind_of = np.concatenate([core_class[:core], np.full(known + 1 - core, classlm.OTHER_CLASS)])
+    assert (got[:core] == core_class[:core]).all() and got[known] == classlm.OTHER_CLASS
+    flat = np.concatenate([[0], *texts]).astype(int)
+
+    def information(t):
+        return (t * np.log(np.maximum(t, 1e-300))).sum() - sum(x * np.log(x) for x in t.sum(axis=1)) - sum(x * np.log(x) for x in t.sum(axis=0))
+
+    for w in range(core, known):
+        at = np.flatnonzero(flat == w)
+        if not len(at):
+            continue
+        left, right = np.zeros(kinds), np.zeros(kinds)
+        # texts of one batch follow one another, so the start of a batch and the end of the one before are the same end token
+        np.add.at(left, kind_of[flat[at - 1]], 1)
+        np.add.at(right, kind_of[flat[at + 1]], 1)
+        gains = []
+        for k in range(classlm.FIRST_CLASS, kinds):
+            with_row, with_column = table.copy(), table.copy()
+            with_row[k] += right
+            with_column[:, k] += left
+            gains.append(_rows(with_row) - _rows(table) + _columns(with_column) - _columns(table))
+        assert got[w] == classlm.FIRST_CLASS + int(np.argmax(gains)), w
+    full = classlm._transitions(sequences, got, kinds)
+    want = np.zeros((kinds, kinds))
+    for t in [texts[i: i + 7] for i in range(0, 60, 7)]:
+        kind = got[np.concatenate([[0], *t]).astype(int)]
+        np.add.at(want, (kind[:-1], kind[1:]), 1)
+    assert (full == want).all()
+
+
+def _rows(t):
+    return (t * np.log(np.maximum(t, 1e-300))).sum() - sum(x * np.log(x) for x in t.sum(axis=1))
+
+
+def _columns(t):
+    return (t * np.log(np.maximum(t, 1e-300))).sum() - sum(x * np.log(x) for x in t.sum(axis=0))

@@ -82,6 +82,22 @@ def visual_hint(c: Column, limit: int = 6, otherwise: str = "abstract concept")
     return _column(one, "string", pa.string(), F.coalesce(c, F.lit("")))
 
 
+def extract_sentences(c: Column, min_length: int = 30, limit: int = 6) -> Column:
+    """``text.extract_sentences``: the first sentences that are long enough to be a claim; reading ends there."""
+
+    def one(text: str) -> list[str]:
+        out, start = [], 0
+        while start <= len(text) and len(out) < limit:
+            end = text.find(". ", start)
+            sentence = text[start: end if end >= 0 else len(text)].strip(BLANK)
+            if len(sentence) > min_length:
+                out.append(sentence)
+            start = end + 2 if end >= 0 else len(text) + 1
+        return out
+
+    return _column(one, "array<string>", pa.list_(pa.string()), c)
+
+
 def title_case(c: Column) -> Column:
     """``text.title_case``: the first letter of every run of letters upper-case, the rest lower-case."""
 

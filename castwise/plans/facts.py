@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwise import params as P
-from castwise.functions import scores, text
+from castwise.functions import passes, scores, text
 from castwise.operators.joins import lookup
 from castwise.operators.ranking import fill_if_short, top_per_group
 
@@ -100,7 +100,7 @@ def facts_from_extracts(extracts: DataFrame, key: str, body: str, source: str, l
     """Encyclopedia extracts as fact rows: the first long enough sentences."""
     return extracts.select(
         F.col(key).alias("dossier_id"),
-        F.posexplode_outer(text.extract_sentences(F.col(body))).alias("pos", "claim"),
+        F.posexplode_outer(passes.extract_sentences(F.col(body))).alias("pos", "claim"),
     ).filter(F.col("pos").isNotNull()).select(
         "dossier_id", "pos", "claim", F.col("claim").alias("detail"), F.lit(source).alias("source_name"),
         F.lit("fact").alias("information_type"), F.lit(license).alias("license"), F.lit(float(confidence)).alias("confidence"),

@@ -34,7 +34,8 @@ def test_passes_say_what_the_expressions_say(texts):
                  (passes.word_count(t), X.word_count(t)), (passes.keywords(t, base), X.keywords(t, base)),
                  (passes.search_phrase(t, ("word", "tabs")), X.search_phrase(t, ("word", "tabs"))), (passes.visual_hint(t), X.visual_hint(t)),
                  (passes.title_case(t), X.title_case(t)), (passes.drop_phrases(t, phrases), X.drop_phrases(t, phrases)),
-                 (passes.sections(t), X.sections(t)), (X.overlay(t), _overlay(t)), (X.headline(t), _headline(t))):
+                 (passes.sections(t), X.sections(t)),
+                 (passes.extract_sentences(t, 5, 3), X.extract_sentences(t, 5, 3)), (passes.extract_sentences(t), X.extract_sentences(t)), (X.overlay(t), _overlay(t)), (X.headline(t), _headline(t))):
         _same(texts, a, b)
 
 

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_queries():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from castwise.llm import mixing, packing, quality, simhash, suffix
 from castwise.llm.common import read
-from castwise.session import scratch_dir
+from castwise.session import clear_staged, note_staged, scratch_dir, staged_folders
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,17 @@ ORACLE_SQL = None  # hashes, trees and suffix intervals are beyond SQL; the test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; every stage is written once and survives lost executors."""
+    """Applies the stages to ``documents``; every stage is written once and survives lost executors.
+
+    What a stage staged, and its predecessor's rows, are emptied when its own rows are written; ``clear_staged`` frees the last.
+    """
     docs = read(spark, sf_dir, "documents")
     root = f"{scratch_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    keep = len(staged_folders())
     for n, (_, stage) in enumerate(STAGES):
         path = f"{root}/{n}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear_staged(spark, keep)
+        note_staged(path)
         docs = spark.read.parquet(path)
     return docs

@@ -13,7 +13,7 @@ from castwise.operators.joins import for_each
 from castwise.operators.sequences import positions
 from castwise.plans import audit, packaging, performance, review
 from castwise.session import scratch_dir
-from castwise.sources import readers, writers
+from castwise.sources import filesets, readers, writers
 from castwise.streaming import ingest
 
 # review records of the produced content, and publishing results of every third run
@@ -141,6 +141,22 @@ def status_update(spark, folder):
     return spark.read.parquet(path).select("id", "category", "status", "title")
 
 
+@query("status_move", """
+    with ch as (select distinct l_partkey as id from lineitem where l_quantity > 40 and l_returnflag = 'R')
+    select id, category, case when ch.id is not null then 'rejected' else status end as status,
+           case when ch.id is not null then cast(null as varchar) else title end as title
+    from content_v left join ch using (id)
+""", ["content_v"])
+def status_move(spark, folder):
+    """Content partitioned by status: changed rows move to another partition, in a new list of files."""
+    path = _folder(spark, "moves")
+    filesets.create(view(spark, folder, "content_v").select("id", "category", "status", "title"), path, ["status"])
+    changes = table(spark, folder, "lineitem").filter("l_quantity > 40 and l_returnflag = 'R'").select(
+        F.col("l_partkey").alias("id")).distinct().select("id", F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("title"))
+    filesets.update(spark, path, changes, "id", ["status", "title"])
+    return filesets.read(spark, path)
+
+
 @query("review_scan", """
     with r as (select s_suppkey as id, 'run-' || lpad(s_suppkey::varchar, 9, '0') as run_id, s_name as title, 'approved' as status from supplier),
     c as (select l_suppkey as id, count(distinct l_returnflag) as n from lineitem group by 1)

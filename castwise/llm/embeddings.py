@@ -2,8 +2,8 @@
 
 1. Equal vectors become one class. The classes of a label are cut into overlapping shards around pivots, again
    and again while a shard is too large; no shard depends on the size of the table.
-2. Each shard builds a flat graph: candidates are the nearest and some random members, pruned so that an
-   edge stays unless a kept neighbour is clearly closer to its end. The adjacency lists of a vector's shards are united.
+2. Each shard builds a flat graph by insertion: a member is searched for from the medoids, and of what the search visited
+   an edge stays unless a kept neighbour is clearly closer to its end. The adjacency lists of a vector's shards are united.
 3. Each shard searches for its members: greedily from the medoids of its parts, then from every member
    found within range on, until no new one is in range. What is found is verified in double precision.
 
@@ -28,11 +28,11 @@ PIVOTS = 16
 MARGIN = 0.2  # a vector also goes to its second pivot if that is so little farther away
 APART = 0.4  # pivots closer than this are one
 DEGREE = 24
-NEAREST, RANDOM = 48, 16  # candidates of a vector
 ALPHA = 1.2
 SAME = 1e-6  # squared distance of vectors in one direction: no edge between them covers another
-BEAM = 48  # members a search expands before it only follows those in range
+BEAM = 48  # best members that a search keeps and expands before it follows those in range
 EXPANDED = 4  # at a time
+FRONTIER = 8_192  # members in range expanded at a time
 SLACK = 0.02  # members so little below the threshold are expanded too
 BATCH = 256  # searches run together
 ROUNDS = 12
@@ -55,38 +55,67 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def build_graph(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Adjacency ``[n, k]`` (-1: none) of unit vectors: pruned candidates, then pruned again with the reversed edges."""
+def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
+    """Adjacency ``[n, DEGREE]`` (-1: none) of unit vectors, and how many similarities it took; never all of them.
+
+    Members are inserted in batches that at most double the graph. Each is searched for from the medoids; what the search
+    visited, pruned, becomes its edges, which are also made backwards. A second pass does it again on the whole graph.
+    """
     n = len(x)
+    graph = np.full((n, DEGREE), -1, np.int64)
     if n < 2:
-        return np.full((n, 1), -1, np.int64)
+        return graph, 0
     x = x.astype(np.float32)
-    random = np.random.default_rng(seed)
-    nearest = min(NEAREST, n - 1)
-    near = np.empty((n, nearest), np.int64)
-    for s in range(0, n, 1024):
-        sims = x[s: s + 1024] @ x.T
-        sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -np.inf
-        sims += random.uniform(0, SAME, sims.shape).astype(np.float32)  # of many alike, each row takes others
-        near[s: s + 1024] = np.argpartition(-sims, nearest - 1, axis=1)[:, :nearest]
-    far = random.integers(0, n, (n, RANDOM))
-    far[far == np.arange(n)[:, None]] = -1
-    out = _pruned(x, np.concatenate([near, far], axis=1))
-    source, target = np.nonzero(out >= 0)[0], out[out >= 0]
-    order = np.argsort(target, kind="stable")
+    heads = medoids(x)
+    order = np.concatenate([heads, np.random.default_rng(seed).permutation(np.setdiff1d(np.arange(n), heads))])
+    compared = 0
+    for whole in (False, True):
+        at = 0 if whole else 1
+        while at < n:
+            batch = order[at: at + (BATCH if whole else min(at, BATCH))]
+            visited, met_q, _, _, _ = greedy_search(x, graph, heads if whole else heads[:at], batch)
+            compared += len(met_q)
+            near = np.concatenate([visited, graph[batch]], axis=1)
+            graph[batch] = robust_prune(x, batch, _distinct(np.where(near == batch[:, None], -1, near)))
+            _link_back(x, graph, batch)
+            at += len(batch)
+    return graph, compared
+
+
+def _mixed(row: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """A number below 1 for each pair, so that of many members in one direction each row takes others."""
+    return (row * 40_503 ^ member * 2_654_435_761 >> 7) * 2_246_822_519 % 1_000_003 / 1_000_003
+
+
+def _distinct(candidates: np.ndarray) -> np.ndarray:
+    candidates = np.sort(candidates, axis=1)
+    again = candidates[:, 1:] == candidates[:, :-1]
+    candidates[:, 1:][again] = -1
+    return candidates
+
+
+def _link_back(x: np.ndarray, graph: np.ndarray, batch: np.ndarray) -> None:
+    """Give the ends of the batch's edges an edge back; lists that overflow are pruned."""
+    row, place = np.nonzero(graph[batch] >= 0)
+    source = batch[row]
+    target = graph[source, place]
+    new = ~(graph[target] == source[:, None]).any(axis=1)
+    source, target = source[new], target[new]
+    if not len(target):
+        return
+    order = np.lexsort((-np.einsum("nd,nd->n", x[source], x[target]), target))
     source, target = source[order], target[order]
     place = np.arange(len(target)) - np.searchsorted(target, target, side="left")
-    back = np.full((n, DEGREE), -1, np.int64)
-    fits = place < DEGREE
-    back[target[fits], place[fits]] = source[fits]
-    return _pruned(x, np.concatenate([out, back], axis=1))
-
-
-def _pruned(x: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    candidates = np.sort(candidates, axis=1)
-    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
-    blocks = np.split(np.arange(len(x)), range(512, len(x), 512))
-    return np.concatenate([robust_prune(x, rows, candidates[rows]) for rows in blocks])
+    near = place < 2 * DEGREE  # only the closest of very many could stay
+    source, target, place = source[near], target[near], place[near]
+    ends, at = np.unique(target, return_inverse=True)
+    lists = np.full((len(ends), DEGREE + place.max() + 1), -1, np.int64)
+    lists[:, :DEGREE] = graph[ends]
+    lists[at, DEGREE + place] = source
+    full = (lists >= 0).sum(axis=1) > DEGREE
+    graph[ends[~full]] = -np.sort(-lists[~full], axis=1)[:, :DEGREE]
+    if full.any():
+        graph[ends[full]] = robust_prune(x, ends[full], lists[full])
 
 
 def robust_prune(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -96,7 +125,7 @@ def robust_prune(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int
     """
     ends = x[np.maximum(near, 0)]
     to_row = np.where(near >= 0, np.maximum(0, 2 - 2 * np.einsum("nd,nmd->nm", x[rows], ends)), np.inf)
-    order = np.argsort(to_row, axis=1, kind="stable")
+    order = np.argsort(to_row + _mixed(rows[:, None], np.maximum(near, 0)) * SAME, axis=1, kind="stable")
     near, to_row = np.take_along_axis(near, order, 1), np.take_along_axis(to_row, order, 1)
     ends = np.take_along_axis(ends, order[:, :, None], 1)
     alive = np.isfinite(to_row)
@@ -125,47 +154,77 @@ def medoids(x: np.ndarray, parts: int = 32, seed: int = 11) -> np.ndarray:
     return np.unique(found)
 
 
+def greedy_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, ...]:
+    """Searches for members ``queries`` of ``x`` run together: each keeps the ``beam`` best it met and expands them until all are.
+
+    Gives the expanded members ``[query, step]`` (-1: none), then ``query, member, similarity`` of every member met, once
+    each, and the table ``[query, member]`` of what was met.
+    """
+    count, first = len(queries), len(starts)
+    near = np.full((count, beam + first), -1, np.int64)
+    near[:, :first] = starts
+    sims = np.full(near.shape, -np.inf, np.float32)
+    sims[:, :first] = x[queries] @ x[starts].T
+    fresh = near >= 0
+    seen = np.zeros((count, len(x)), bool)
+    seen[:, starts] = True
+    met = [(np.repeat(np.arange(count), first), np.tile(starts, count), sims[:, :first].ravel())]
+    visited, active = [np.zeros((count, 0), np.int64)], np.arange(count)
+    while True:
+        best = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+        near, sims, fresh = (np.take_along_axis(v, best, 1) for v in (near, sims, fresh))
+        value = np.where(fresh, sims, -np.inf)
+        top = np.argpartition(-value, EXPANDED - 1, axis=1)[:, :EXPANDED]
+        go = np.isfinite(np.take_along_axis(value, top, 1))
+        live = go.any(axis=1)
+        if not live.any():
+            break
+        near, sims, fresh, active, top, go = (v[live] for v in (near, sims, fresh, active, top, go))
+        chosen = np.where(go, np.take_along_axis(near, top, 1), -1)
+        np.put_along_axis(fresh, top, False, 1)
+        visited.append(np.full((count, EXPANDED), -1, np.int64))
+        visited[-1][active] = chosen
+        ends = _distinct(np.where(go[:, :, None], graph[np.maximum(chosen, 0)], -1).reshape(len(active), -1))
+        new = (ends >= 0) & ~seen[active[:, None], np.maximum(ends, 0)]
+        row, place = np.nonzero(new)
+        q, e = active[row], ends[row, place]
+        seen[q, e] = True
+        found = np.full(ends.shape, -np.inf, np.float32)
+        sim = np.einsum("nd,nd->n", x[queries[q]], x[e])
+        found[row, place] = sim + _mixed(queries[q], e) * SAME
+        met.append((q, e, sim))
+        near, sims, fresh = np.hstack([near, ends]), np.hstack([sims, found]), np.hstack([fresh, new])
+    return np.hstack(visited), *(np.concatenate(v) for v in zip(*met)), seen
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float,
-                 beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """``(query, member)`` of the members met within ``threshold`` (a little below it) of each query, itself left out.
+                 beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(query, member)`` of the members met within ``threshold`` (a little below it) of each query, itself left out, and
+    how many similarities it took.
 
-    Every query expands the best members it knows, ``beam`` of them; then only those in range, until none is left.
+    A greedy search from ``starts``; then all members in range are expanded, and those in range next to them, until none is left.
     """
-    x = x.astype(np.float32)
-    found_q, found_x = [], []
+    x, n, compared = x.astype(np.float32), len(x), 0
+    found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(0, len(queries), BATCH):
         batch = queries[s: s + BATCH]
-        known = np.full((len(batch), len(x)), -2, np.float32)
-        fresh = known.copy()  # similarity of what is known and not expanded yet
-        first = x[batch] @ x[starts].T
-        known[:, starts] = first
-        fresh[:, starts] = first
-        active, done = np.arange(len(batch)), 0
-        width = min(EXPANDED, len(x))
-        while len(active):
-            top = np.argpartition(-fresh[active], width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(fresh[active], top, 1)
-            go = value > (-2 if done < beam else threshold - SLACK)
-            keep = go.any(axis=1)
-            active, top, go = active[keep], top[keep], go[keep]
-            if not len(active):
-                break
-            rows = np.repeat(active, go.sum(axis=1))
-            fresh[rows, top[go]] = -2
-            ends = graph[top[go]]
-            at, place = np.nonzero(ends >= 0)
-            q, e = rows[at], ends[at, place]
-            new = known[q, e] == -2
-            q, e = q[new], e[new]
-            sims = np.einsum("nd,nd->n", x[batch[q]], x[e])
-            known[q, e] = sims
-            fresh[q, e] = sims
-            done += width
-        known[np.arange(len(batch)), batch] = -2
-        q, e = np.nonzero(known >= threshold - 1e-3)
-        found_q.append(batch[q])
-        found_x.append(e)
-    return np.concatenate(found_q), np.concatenate(found_x)
+        _, q, e, sim, seen = greedy_search(x, graph, starts, batch, beam)
+        while len(q):
+            compared += len(q)
+            hit = (sim >= threshold - 1e-3) & (batch[q] != e)
+            found_q.append(batch[q[hit]])
+            found_x.append(e[hit])
+            wide = sim >= threshold - SLACK
+            from_q, from_e, after = q[wide], e[wide], []
+            for part in range(0, len(from_q), FRONTIER):
+                ends = graph[from_e[part: part + FRONTIER]]
+                row, place = np.nonzero(ends >= 0)
+                pair = from_q[part + row] * n + ends[row, place]
+                pair = np.unique(pair[~seen.reshape(-1)[pair]])
+                seen.reshape(-1)[pair] = True
+                after.append((pair // n, pair % n, np.einsum("nd,nd->n", x[batch[pair // n]], x[pair % n])))
+            q, e, sim = (np.concatenate(v) for v in zip(*after)) if after else (np.zeros(0, np.int64),) * 3
+    return np.concatenate(found_q), np.concatenate(found_x), compared
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,7 +321,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
         node = np.array(table.column("node").to_pylist(), np.int64)
         order = np.argsort(node)
         node = node[order]
-        out = build_graph(_unit(_matrix(table.column("vector"))[order]))
+        out, _ = build_graph(_unit(_matrix(table.column("vector"))[order]))
         return pa.table({"node": node, "ends": pa.array([node[r[r >= 0]].tolist() for r in out], pa.list_(pa.int64()))})
 
     edges = placed.select("shard", "node", "vector").groupBy("shard").applyInArrow(graph_of, "node bigint, ends array<bigint>")
@@ -282,7 +341,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
             at = np.searchsorted(node, e)
             at = at[(at < len(node)) & (node[np.minimum(at, len(node) - 1)] == e)] if len(e) else np.zeros(0, np.int64)
             graph[i, : len(at)] = at
-        q, x = range_search(unit, graph, medoids(unit.astype(np.float32)), np.arange(len(node)), threshold)
+        q, x, _ = range_search(unit, graph, medoids(unit.astype(np.float32)), np.arange(len(node)), threshold)
         # each link once and both ways, whoever found it
         low, high = np.minimum(q, x), np.maximum(q, x)
         pair = np.unique(low * len(node) + high)

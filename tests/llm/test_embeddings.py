@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -88,3 +90,49 @@ def test_pruning_keeps_what_no_kept_one_covers():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     kept = embeddings.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4]]))[0]
     assert kept[kept >= 0].tolist() == [1, 3, 4] or kept[kept >= 0].tolist() == [1, 3]
+
+
+def clustered(n, width=64, seed=1):
+    r = np.random.default_rng(seed)
+    centre = r.normal(size=(n // 20, width))
+    x = centre[r.integers(0, len(centre), n)] + r.normal(size=(n, width)) * 0.12
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def searched(x, threshold=0.98):
+    graph, built = embeddings.build_graph(x)
+    q, e, asked = embeddings.range_search(x, graph, embeddings.medoids(x.astype(np.float32)), np.arange(len(x)), threshold)
+    pairs = np.unique(np.minimum(q, e) * len(x) + np.maximum(q, e))
+    sims = np.einsum("nd,nd->n", x[pairs // len(x)], x[pairs % len(x)])
+    true = x @ x.T >= threshold
+    np.fill_diagonal(true, False)
+    return 2 * (sims >= threshold).sum() / true.sum(), built / len(x), asked / len(x)
+
+
+def test_insertion_and_search_compare_few():
+    """Similarities a vector takes grow with the logarithm of the members: 16 times as many cost less than three times as much."""
+    small, large = searched(clustered(500)), searched(clustered(8000))
+    assert small[0] >= 0.999 and large[0] >= 0.999
+    assert large[1] < 3 * small[1] and large[2] < 3 * small[2]
+    assert large[1] < 1000 and large[2] < 500  # of 7,999
+
+
+def test_no_member_of_one_direction_is_lost():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1500, 32))
+    x[:700] = x[0] * r.uniform(0.5, 2, size=(700, 1))
+    recall, _, _ = searched(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert recall >= 0.999
+
+
+def test_graph_of_few():
+    for n in (0, 1, 2, 3):
+        graph, _ = embeddings.build_graph(clustered(20)[:n])
+        assert [sorted(row[row >= 0].tolist()) for row in graph] == [[j for j in range(n) if j != i] for i in range(n)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+def test_audit_of_the_whole_table(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    row = embeddings.audit(vectors, embeddings.op4_embeddings(spark, "/root/testdata/sf0.1")).first()
+    assert row["found"] <= row["true"] and row["recall"] >= 0.99

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from castwise import params as P
-from castwise.catalog.base import half_up, query, table
-from castwise.catalog.selections import SIGNALS, _hits, _strip
+from castwise.catalog.base import half_up, query, table, view
+from castwise.catalog.selections import CHAPTERS, SIGNALS, _hits, _strip
 from castwise.functions import clock, passes, scores, text
 from castwise.plans import documentary, performance, timeline
 
@@ -188,6 +188,27 @@ def documentary_script(spark, folder):
     return documentary.assemble(rows, "Follow.").select("id", "full_text", "word_count", "structure")
 
 
+@query("documentary_chapters", CHAPTERS + r""",
+    t as (select c.id, c.topic, case when coalesce(c.title, '') <> '' then c.title || chr(10) || chr(10) else '' end || """ + _wording(P.INTRO_TEXT) + r""" as intro,
+      """ + _wording(P.ENDING_TEXT) + r""" as ending, d.g as names, x.text as first, m.turns from content_v c join d using (subcategory)
+      left join documents x on x.doc_id = c.id
+      left join (select conv_id, map(list(turn), list(text)) as turns from conversations group by 1) m on m.conv_id = c.id),
+    b as (select *, list_transform(names, lambda n, i: '[CHAPTER: ' || n || ']' || chr(10) ||
+      coalesce(case when i = 1 then first else turns[i - 2] end, '')) as blocks from t),
+    f as (select *, array_to_string(list_concat(list_concat(['[INTRODUCTION]' || chr(10) || intro], blocks),
+      ['[CONCLUSION]' || chr(10) || ending, '[CTA]' || chr(10) || 'Follow.']), chr(10) || chr(10)) as full_text from b)
+    select id, full_text, len(regexp_extract_all(full_text, '\S+')) as word_count, 'documentary-' || len(names) || '-chapters' as structure from f
+""", ["content_v"])
+def documentary_chapters(spark, folder):
+    """Chapters derived per brand lead the scripts of its items. A document is the first chapter, turns of a conversation the next."""
+    rows = view(spark, folder, "content_v").select("id", F.col("subcategory").alias("category"), "topic", F.col("title").alias("hook"))
+    first = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("chapter_no"), F.col("text").alias("body"))
+    turns = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("int").alias("chapter_no"), F.col("text").alias("body"))
+    found = documentary.chapters(rows, minimum=9, maximum=9)
+    return documentary.scripts(rows, found, first.unionByName(turns), "Follow.").select("id", "full_text", "word_count", "structure")
+
+
 # ------------------------------------------------------------------ scores
 
 _STORY = rf"""

@@ -54,6 +54,19 @@ def topic_curiosity(spark, folder):
     return rows.select("topic_id", scores.topic_curiosity(F.col("angle"), signal, ("lost", "why")).alias("curiosity"))
 
 
+@query("topic_judged", f"""
+    with t as (select topic_id, category, virality, evergreen, educational, emotional, competition,
+      least(100, 70 + case when contains(lower(angle), 'lost') or contains(lower(angle), 'why') then 12 else 0 end
+        + coalesce((select count(*) from lineitem where l_orderkey = topic_id), 0)) as curiosity from topics_v)
+    select topic_id, category, cast(curiosity as bigint) as curiosity, {_TOTAL} as total from t
+""", ["topics_v"])
+def topic_judged(spark, folder):
+    """Curiosity comes from the angle and a measured signal inside the scoring. Line items of an order stand for the signal."""
+    signal = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("topic_id")).agg(F.count("*").alias("signal"))
+    rows = view(spark, folder, "topics_v").drop("curiosity").join(signal, "topic_id", "left")
+    return topics.scored(topics.judged(rows, ("lost", "why"))).select("topic_id", "category", "curiosity", "total")
+
+
 # Matching-block ratio in SQL: the longest common piece (first in a, then first in b)
 # splits both texts; the pieces left and right of it are split again until none match.
 _RATIO = """
@@ -440,7 +453,7 @@ def best_fact(spark, folder):
     return flag_best(rows, ["dossier_id"], "pos_id", [F.col("confidence").desc(), F.col("pos_id")])
 
 
-@query("chapters", r"""
+CHAPTERS = r"""
     with few as (select * from (select category, subcategory, id, topic,
         row_number() over (partition by subcategory order by id) as rn from content_v) where rn <= 10),
     firsts as (select * from (select *, row_number() over (partition by subcategory, trim(lower(topic)) order by id) as k from few) where k = 1),
@@ -449,6 +462,10 @@ def best_fact(spark, folder):
     arc as (select ['Origins', 'The Turning Point', 'The Consequences', 'The Hidden Pattern', 'What It Means Today'] as a),
     c as (select subcategory, case when len(own) >= 9 then own[1:9] else (a)[1:9] end as f, a from names, arc),
     d as (select subcategory, case when len(f) >= 9 then f else list_concat(f, a)[1:9] end as g from c)
+"""
+
+
+@query("chapters", CHAPTERS + r"""
     select subcategory as category, cast(unnest(range(0, len(g))) as integer) as chapter_no, unnest(g) as chapter from d
 """, ["content_v"])
 def chapters(spark, folder):

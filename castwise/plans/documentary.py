@@ -60,6 +60,23 @@ def assemble(documentaries: DataFrame, cta: str) -> DataFrame:
     )
 
 
+def scripts(items: DataFrame, chapters: DataFrame, bodies: DataFrame, cta: str) -> DataFrame:
+    """Full scripts (as ``assemble``) of items (id, category, topic, hook) over the chapters derived for their category.
+
+    ``chapters`` is what ``chapters`` gives; ``bodies`` (id, chapter_no, body) has one row per written chapter. A
+    chapter nobody wrote keeps its heading; an item without a category has none; bodies of unknown items or chapters are left out.
+    """
+    named = chapters.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "chapter"))).alias("names"))
+    known = items.select("id", "category").join(chapters, "category").join(bodies, ["id", "chapter_no"])
+    # an item has at most as many bodies as its category has chapters, a few
+    written = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("chapter_no", "body"))).alias("bodies"))
+    rows = items.join(named, "category", "left").join(written, "id", "left")
+    names = F.coalesce("names", F.array().cast("array<struct<chapter_no:int,chapter:string>>"))
+    filled = F.transform(names, lambda c: F.struct(
+        c["chapter"].alias("name"), F.coalesce(F.try_element_at("bodies", c["chapter_no"]), F.lit("")).alias("body")))
+    return assemble(rows.select("id", "topic", "hook", filled.alias("chapters")), cta)
+
+
 def script_from_reply(replies: DataFrame, hook: str | None = None, banned: Sequence[str] = P.BANNED_PHRASES,
                       cta: str = "") -> DataFrame:
     """Sections of (id, reply), cleaned of banned phrases, and the joined script. A given hook column leads it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +64,15 @@ def scored(topics: DataFrame, weights: P.TopicWeights = P.TopicWeights()) -> Dat
     return topics.withColumn("total", scores.topic_total({d: F.col(d) for d in DIMENSIONS}, weights))
 
 
+def judged(topics: DataFrame, markers: Iterable[str] = P.CURIOSITY_MARKERS) -> DataFrame:
+    """Topic rows with ``curiosity`` worked out from ``angle`` and the measured ``signal`` (NULL counts as 0), at most 100.
+
+    ``scored`` and ``opportunities`` take the result; a curiosity column the rows may have is replaced.
+    """
+    found = scores.topic_curiosity(F.coalesce("angle", F.lit("")), F.coalesce("signal", F.lit(0)), markers)
+    return topics.withColumn("curiosity", F.least(F.lit(100), found))
+
+
 def opportunities(
     topics: DataFrame,
     existing: DataFrame,

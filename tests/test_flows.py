@@ -252,3 +252,17 @@ def test_staged_folders_are_emptied(spark):
     path = staged_folders()[-1]
     assert kept.count() == 5
     assert clear_staged(spark, keep) == 1 and spark.read.parquet(path).count() == 0 and len(staged_folders()) == keep
+
+
+def test_derived_chapters_lead_the_script(spark):
+    from castwise.plans import documentary
+
+    items = spark.createDataFrame([(1, "a", "T", "H"), (2, "a", "U", None), (3, None, "V", "")], "id long, category string, topic string, hook string")
+    names = spark.createDataFrame([("a", 1, "Second"), ("a", 0, "First"), ("b", 0, "Other")], "category string, chapter_no int, chapter string")
+    bodies = spark.createDataFrame([(1, 0, "one."), (1, 1, None), (2, 1, "two."), (2, 7, "lost."), (9, 0, "nobody's.")], "id long, chapter_no int, body string")
+    got = {r["id"]: r for r in documentary.scripts(items, names, bodies, "Follow.").collect()}
+    assert got[1]["body"] == "[CHAPTER: First]\none.\n\n[CHAPTER: Second]\n"
+    assert got[2]["body"] == "[CHAPTER: First]\n\n\n[CHAPTER: Second]\ntwo."
+    assert (got[1]["structure"], got[3]["structure"], got[3]["body"]) == ("documentary-2-chapters", "documentary-0-chapters", "")
+    assert got[1]["full_text"].startswith("[INTRODUCTION]\nH\n\n") and got[3]["full_text"].endswith("[CTA]\nFollow.")
+    assert documentary.scripts(items, names.limit(0), bodies, "Follow.").count() == 3

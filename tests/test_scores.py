@@ -147,3 +147,14 @@ def test_duplicate_topics_lose_the_gate(spark):
     got = {r["topic_id"]: r for r in topics.opportunities(backlog, corpus).collect()}
     assert got[1]["duplicate"] == 100.0 and got[1]["total"] < 0 and not got[1]["selected"]
     assert got[2]["selected"] and got[2]["duplicate"] == 0.0
+
+
+def test_curiosity_is_worked_out_inside_the_scoring(spark):
+    from castwise.plans import topics
+
+    dims = "10 as virality, 10 as evergreen, 10 as educational, 10 as emotional, 10 as competition"
+    rows = spark.sql(f"""select topic_id, angle, signal, {dims}, 1 as curiosity from values
+        (1, 'The LOST road', 5), (2, 'A road', null), (3, null, 3), (4, 'Lost again', 50) as t(topic_id, angle, signal)""")
+    got = {r["topic_id"]: (r["curiosity"], r["total"]) for r in topics.scored(topics.judged(rows, ("lost",))).collect()}
+    # (10 + 1.2 c + 10 + 10 + 0.8 x 10 - 10) / 5
+    assert got == {1: (87, 26.5), 2: (70, 22.4), 3: (73, 23.1), 4: (100, 29.6)}

@@ -183,3 +183,21 @@ def test_vector_buckets_prune_clusters(spark):
 
     small, large = pairs_per_vector(1_000), pairs_per_vector(10_000)
     assert large < 4 * small
+
+
+def test_meetings_are_counted_in_parts_and_blocks(spark, monkeypatch):
+    """Long sets are cut into parts and dealt to blocks; every pair at the threshold is found and hardly any other goes on."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[rng.choice(words) for _ in range(rng.choice((40, 300, 700)))] for _ in range(12)]
+    docs = []
+    for i in range(90):
+        t = [rng.choice(words) if rng.random() < (0.02, 0.2)[i % 2] else w for w in base[i % 12]] + ["the"] * 5
+        docs.append((i, " ".join(t), i % 3 > 0))
+    texts = {i: _shingles(t) for i, t, _ in docs}
+    monkeypatch.setattr(sets, "BLOCK", 900)
+    for threshold in (0.8, 0.15):
+        found = {tuple(r) for r in sets.candidates(_lists(spark, docs, threshold), threshold).collect()}
+        near = {(i, j) for i, _, _ in docs for j, _, e in docs
+                if e and i != j and len(texts[i] & texts[j]) >= threshold * len(texts[i] | texts[j]) - 1e-12}
+        assert near and near <= found and len(found) <= 3 * len(near), threshold

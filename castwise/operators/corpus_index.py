@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.operators.sets import needed, prefix_length, shingle_sets, sizes_fit
+from castwise.operators.sets import common_shingles, kept_column, needed, shingle_sets, sizes_fit
 from castwise.session import staged
 
 
@@ -63,16 +63,20 @@ def prefixes(sets: DataFrame, index: CorpusIndex) -> DataFrame:
     nodes = sets.filter("n > 0").dropDuplicates(["node"]).select("node", "n", F.explode("sh").alias("s"))
     ranked = nodes.join(index.table("order"), "s", "left").groupBy("node").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "s"))).alias("ranked"))
-    kept = F.slice("ranked", F.lit(1), prefix_length(F.col("n"), index.threshold))
+    kept = F.slice("ranked", F.lit(1), kept_column(F.col("n"), index.threshold).cast("int"))
     return ranked.select("node", "n", F.posexplode(kept).alias("i", "r")).select("r.s", "node", "n", "i")
 
 
 def candidates(mine: DataFrame, index: CorpusIndex) -> DataFrame:
-    """``a, node``: pairs of a new and an old text that the prefixes, sizes and positions do not tell apart."""
-    left = mine.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    behind = F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i"))
-    fits = sizes_fit(F.col("na"), F.col("n"), index.threshold) & (behind >= needed(F.col("na"), F.col("n"), index.threshold))
-    return left.join(index.table("postings"), "s").filter(fits).select("a", "node").distinct()
+    """``a, node``: pairs of a new and an old text whose prefixes have enough shingles in common.
+
+    Of the common ones as many as the longer tail has may be missing in the prefixes; pairs are counted, not compared, until then.
+    """
+    t = index.threshold
+    left = mine.select("s", F.col("node").alias("a"), F.col("n").alias("na"))
+    met = left.join(index.table("postings"), "s").filter(sizes_fit(F.col("na"), F.col("n"), t)).groupBy("a", "node", "na", "n").agg(F.count("*").alias("met"))
+    gone = F.greatest(F.col("na") - kept_column(F.col("na"), t), F.col("n") - kept_column(F.col("n"), t))
+    return met.filter(F.col("met") >= needed(F.col("na"), F.col("n"), t) - gone).select("a", "node")
 
 
 def probe(batch: DataFrame, index: CorpusIndex) -> DataFrame:
@@ -84,7 +88,7 @@ def probe(batch: DataFrame, index: CorpusIndex) -> DataFrame:
     pairs = candidates(prefixes(sets, index), index)
     own = sets.dropDuplicates(["node"]).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sh").alias("mine"))
     both = pairs.join(index.table("sets"), "node").join(own, "a")
-    common = F.size(F.array_intersect("mine", "sh"))
+    common = common_shingles(F.col("mine"), F.col("sh"))
     best = both.select("a", (common / (F.col("na") + F.col("n") - common)).alias("sim")).filter(F.col("sim") >= index.threshold).groupBy(
         F.col("a").alias("node")).agg(F.max("sim").alias("best"))
     sim: Column = F.coalesce("best", F.lit(0.0))

@@ -112,3 +112,17 @@ def test_bucketed_tables_join_without_exchange(spark, folder):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         schemas.create_tables(spark, "bucket_t", reset=True)
+
+
+def test_only_texts_that_share_enough_are_compared(spark, folder):
+    """Long texts that share a line or two are counted out; pairs at the threshold stay."""
+    r = random.Random(9)
+    own = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    old = [f"one two three four {own(90)}" for _ in range(40)]
+    new = [f"one two three four {own(90)}" for _ in range(10)] + [" ".join(old[3].split()[:60]) + " " + own(30)]
+    index = corpus_index.create(_frame(spark, [own(20)]), "counted", f"{folder}/counted", 0.15)
+    corpus_index.publish(_frame(spark, old), index)
+    sets = corpus_index._sets(_frame(spark, new), index)
+    assert corpus_index.candidates(corpus_index.prefixes(sets, index), index).count() == 1
+    got = {x["doc_id"]: x["max_similarity"] for x in corpus_index.probe(_frame(spark, new), index).collect()}
+    assert got[10] > 0.4 and sum(v > 0 for v in got.values()) == 1

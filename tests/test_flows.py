@@ -266,3 +266,19 @@ def test_derived_chapters_lead_the_script(spark):
     assert (got[1]["structure"], got[3]["structure"], got[3]["body"]) == ("documentary-2-chapters", "documentary-0-chapters", "")
     assert got[1]["full_text"].startswith("[INTRODUCTION]\nH\n\n") and got[3]["full_text"].endswith("[CTA]\nFollow.")
     assert documentary.scripts(items, names.limit(0), bodies, "Follow.").count() == 3
+
+
+def test_documents_work_their_rows_out_once(spark, tmp_path):
+    """Counting the rows and finding their ranges does not compute them again; one file holds one row, in the order of the key."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(1203).selectExpr("lpad(1202 - id, 5, '0') as run", "concat('v', lpad(1202 - id, 5, '0')) as value")
+    writers.documents(rows.mapInPandas(passed, "run string, value string"), f"{tmp_path}/out", "run")
+    assert seen.value == 1203
+    files = sorted(tmp_path.glob("out/part-*"))
+    assert [f.read_text().strip() for f in files] == [f"v{i:05d}" for i in range(1203)]

@@ -6,8 +6,9 @@ import heapq
 import os
 import re
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,22 @@ END_ID = 1
 CACHED_WORDS = 1 << 17  # words, and pieces, that a worker remembers twice over: the newest, and those before
 SPECIAL = b"<|"  # how the texts of special tokens begin
 PRINTABLE = bytes(range(33, 127))
+SPACES = b" \t\n\r\x0b\x0c"
 # Fixed: how the tokenizer cuts lowered text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")  # words of these have one form, and their lower case is told letter by letter
+LATIN_TEXT = re.compile("[ \t-\r!-~\u00a1-\u012f\u0131-\u024f]+")  # such words and the spaces between them
+
+
+def _latin_piece() -> re.Pattern:
+    """``PIECE`` for lowered texts of ``LATIN_TEXT``, by lists of their letters and numbers."""
+    lowered = {c for i in range(0x250) if LATIN.fullmatch(chr(i)) for c in chr(i).lower()}
+    letters, numbers = (re.escape("".join(sorted(c for c in lowered if regex.match(kind, c)))) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+
+
+LATIN_PIECE = _latin_piece()
 
 # How byte-level tokenizers write bytes: printable ones as themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,14 +49,31 @@ BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class _Newest(dict):
+    """Results of ``make``, remembered for the newest keys and for those before."""
+
+    def __init__(self, make: Callable[[Any], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: Any) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts by a public tokenizer that lowers its input and splits it at white space.
 
-    Such a tokenizer never merges across a space, so every word between ASCII spaces is encoded once and
-    remembered; the ids of a text are those of its words in turn. A new word is cut into the pieces the
-    tokenizer would cut, and only pieces not met before go through the merges. Words of printable ASCII and of
-    Latin letters are lowered and cut here, others by the tokenizer's own steps; words that may hold the text
-    of a special token are encoded as they are.
+    Such a tokenizer never merges across the borders of the pieces it cuts a text into, so a piece goes through
+    the merges once and is remembered; the ids of a text are those of its pieces in turn. Texts of printable ASCII
+    and of Latin letters are lowered and cut here, whole. Of others every word between ASCII spaces is encoded
+    once and remembered; what is not Latin is cut by the tokenizer's own steps, and words that may hold
+    the text of a special token are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -52,43 +82,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words, self.older_words = {}, {}
-        self.pieces, self.older_pieces = {}, {}
+        self.words, self.pieces, self.cut_pieces = _Newest(self._word), _Newest(self._piece), _Newest(self._merged)
+
+    def _merged(self, piece: str) -> bytes:
+        """The ids of a piece whose bytes are written the tokenizer's way."""
+        return b"".join([self.id_bytes[t.id] for t in self.tokenizer.model.tokenize(piece)])
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.older_pieces.get(piece)
-            if got is None:
-                got = b"".join([self.id_bytes[t.id] for t in self.tokenizer.model.tokenize(piece)])
-            if len(self.pieces) >= CACHED_WORDS:
-                self.pieces, self.older_pieces = {}, self.pieces
-            self.pieces[piece] = got
-        return got
+        return self._merged(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
 
     def _word(self, word: bytes) -> bytes:
-        got = self.older_words.get(word)
-        if got is not None:
-            pass
-        elif SPECIAL in word:
+        if SPECIAL in word:
             ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            got = b"".join([self.id_bytes[i] for i in ids])
-        elif not word.translate(None, PRINTABLE):
-            got = b"".join(map(self._piece, ASCII_PIECE.findall(word.decode("ascii").lower())))
-        elif LATIN.fullmatch(text := word.decode("utf-8", "replace")):
-            cut = PIECE.findall(text.lower())
-            got = b"".join([self._piece(p.encode().decode("latin-1").translate(BYTE_CHARS)) for p in cut])
-        else:
-            text = self.tokenizer.normalizer.normalize_str(text)
-            got = b"".join([self._piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-        if len(self.words) >= CACHED_WORDS:
-            self.words, self.older_words = {}, self.words
-        self.words[word] = got
+            return b"".join([self.id_bytes[i] for i in ids])
+        got = self._latin(word)
+        if got is None:
+            text = self.tokenizer.normalizer.normalize_str(word.decode("utf-8", "replace"))
+            got = b"".join([self.cut_pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
         return got
 
+    def _latin(self, data: bytes) -> bytes | None:
+        """The ids of a text without special tokens, if it is Latin."""
+        if not data.translate(None, PRINTABLE + SPACES):
+            cut = ASCII_PIECE.findall(data.decode("ascii").lower())
+        elif LATIN_TEXT.fullmatch(text := data.decode("utf-8", "replace")):
+            cut = LATIN_PIECE.findall(text.lower())
+        else:
+            return None
+        return b"".join(map(self.pieces.__getitem__, cut))
+
     def ids(self, data: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        return b"".join([self.words.get(w) or self._word(w) for w in data.split()])
+        got = None if SPECIAL in data else self._latin(data)
+        return b"".join(map(self.words.__getitem__, data.split())) if got is None else got
 
 
 def encoder(path: str) -> Encoder:

@@ -33,6 +33,22 @@ def test_cache_may_be_small(monkeypatch):
     assert len(encoder.words) <= 5
 
 
+def test_latin_texts_are_cut_whole_and_only_their_pieces_remembered():
+    encoder = packing.Encoder(PATH)
+    text = " ".join(f"{a}{b}{c}" for a in ("Été", "run", "ÿes", "²o") for b in ("'s", "12", "", "ß") for c in (".", ",", "!?", "\n"))
+    assert encoder.ids(text.encode()) == whole(text)[:-1].tobytes()
+    assert not encoder.words and len(encoder.pieces) < 20  # 80 different words
+    mixed = text + " “ok” " + text + " <|endoftext|>x"
+    assert encoder.ids(mixed.encode()) == whole(mixed)[:-1].tobytes()
+
+
+def test_latin_pieces_are_those_of_the_tokenizers_rule():
+    letters = [chr(i) for i in range(0x250) if packing.LATIN_TEXT.fullmatch(chr(i))]
+    r = random.Random(4)
+    for text in [*letters, *("".join(r.choices(letters, k=6)) for _ in range(5000))]:
+        assert packing.LATIN_PIECE.findall(text.lower()) == packing.PIECE.findall(text.lower())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_patterns_hold_every_piece_once(seed):
     r = random.Random(seed)

@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,34 @@ def test_vectors_against_brute_force(spark, block, threshold):
         assert got[i]["max_similarity"] == pytest.approx(best if best >= threshold else 0.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_of_vectors_against_brute_force(monkeypatch, same):
+    """Every vector of two blocks gets its highest cosine with the other block, whatever tiles it is in; single precision decides nothing."""
+    monkeypatch.setattr(S, "TILE", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 12))
+    u = centres[rng.integers(9, size=300)] + rng.normal(scale=0.3, size=(300, 12))
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    own = np.zeros(300, np.int32) if same else rng.integers(2, size=300).astype(np.int32)
+    table = pa.table({"node": np.arange(300), "u": pa.array(u.tolist()), "bucket": rng.integers(5, size=300) if same else (u[:, 0] > 0) * 2 + (u[:, 1] > 0),
+                      "own": own, "i": np.zeros(300, np.int32), "j": np.full(300, 0 if same else 1, np.int32)})
+    sims = u @ u.T
+    sims[np.eye(300, dtype=bool) if same else own[:, None] == own[None, :]] = -1
+    best = sims.max(axis=1)
+    threshold = float(np.sort(best)[150])  # a pair lies just at it
+    got = S._best_of_pair(table, 12, threshold - 1e-12).to_pydict()
+    assert dict(zip(got["node"], got["sim"])) == pytest.approx({i: x for i, x in enumerate(best) if x >= threshold - 1e-12}, abs=1e-12)
+
+
+def test_vectors_travel_a_bounded_number_of_times(spark):
+    assert [S.block_count(n, 64, 2048) for n in (1, 5_000, 100_000, 1_500_000)] == [1, 3, 24, 24]
+    rows = spark.range(500).select(F.col("id").alias("node"), F.array(F.lit(1.0)).alias("u"), F.lit(0).alias("bucket"))
+    met = S.block_pairs(rows, 24)
+    assert met.groupBy("node").count().agg(F.max("count")).first()[0] == 24
+    # any two vectors are in one task
+    assert {r["node"]: r["n"] for r in met.filter("i = own or j = own").groupBy("node").agg(F.countDistinct("i", "j").alias("n")).collect()} == dict.fromkeys(range(500), 24)
+
+
 def test_cosine_of_a_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     assert [round(r[0], 9) for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]

@@ -1,9 +1,10 @@
 """A stored index of a published corpus: new texts are compared with it and added to it, one batch at a time.
 
 Three bucketed tables: ``order`` (how common a shingle was when the index began), ``postings`` (the prefix of every
-set in that order) and ``sets`` (the shingles of every text). The order never changes, so prefixes of all batches agree; a shingle
-it does not know counts as rarest. Old texts are never read or cut into shingles again, and a batch is shuffled to
-the buckets of the index, not the index to the batch.
+set in that order) and ``sets`` (the shingles of every text, those first that the most common of the order leave over). The order never
+changes, so prefixes of all batches agree; a shingle it does not know counts as rarest. Old texts are never read or cut into shingles
+again, and the index is never shuffled: ``probe`` reads its sets past pieces of the batch that all workers hold, ``candidates`` lists pairs by
+shuffling a batch to the buckets of the postings.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.operators.sets import common_shingles, kept_column, needed, shingle_sets, sizes_fit
-from castwise.session import staged
+from castwise.operators.sets import (
+    closest_of, distinct_texts, kept_column, last_in_order, needed, ordered_sets, shingle_sets, sizes_fit, stored_sets, text_keys)
+from castwise.session import clear_staged, shuffles_freed, staged, staged_folders
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,9 @@ class CorpusIndex:
 
     def _append(self, rows: DataFrame, part: str, key: str) -> None:
         # one file per bucket and batch: rows are dealt as the buckets are
-        (rows.repartition(self.buckets, key).write.mode("append").option("path", f"{self.folder}/{part}")
-         .bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{part}"))
+        with shuffles_freed(self.spark):
+            (rows.repartition(self.buckets, key).write.mode("append").option("path", f"{self.folder}/{part}")
+             .bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{part}"))
 
 
 def create(texts: DataFrame, name: str, folder: str, threshold: float = 0.8, width: int = 3, buckets: int | None = None) -> CorpusIndex:
@@ -46,7 +49,7 @@ def create(texts: DataFrame, name: str, folder: str, threshold: float = 0.8, wid
     index = CorpusIndex(spark, name, folder.rstrip("/"), threshold, width, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     seen = shingle_sets(texts.withColumn("existing", F.lit(True)), width).select(F.explode("sh").alias("s"))
     index._append(seen.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") > 1), "order", "s")
-    no_sets = spark.createDataFrame([], "node bigint, n int, sh array<bigint>")
+    no_sets = spark.createDataFrame([], "node bigint, n int, tokens binary")
     index._append(no_sets, "sets", "node")
     index._append(spark.createDataFrame([], "s bigint, node bigint, n int, i int"), "postings", "s")
     return index
@@ -84,15 +87,12 @@ def probe(batch: DataFrame, index: CorpusIndex) -> DataFrame:
 
     Exact from the threshold on, 0 below it; an empty text is like nothing. The texts of a batch are not compared with one another.
     """
-    sets = staged(_sets(batch, index), "batch-sets")
-    pairs = candidates(prefixes(sets, index), index)
-    own = sets.dropDuplicates(["node"]).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sh").alias("mine"))
-    both = pairs.join(index.table("sets"), "node").join(own, "a")
-    common = common_shingles(F.col("mine"), F.col("sh"))
-    best = both.select("a", (common / (F.col("na") + F.col("n") - common)).alias("sim")).filter(F.col("sim") >= index.threshold).groupBy(
-        F.col("a").alias("node")).agg(F.max("sim").alias("best"))
+    rows = batch.select("doc_id", "text", F.lit(False).alias("existing"))
+    ordered = ordered_sets(distinct_texts(rows), index.threshold, index.width, last_in_order(index.table("order")))
+    sets = staged(ordered.sortWithinPartitions("n"), "batch-sets")
+    best = closest_of(sets, index.table("sets").withColumnRenamed("node", "rep"), index.threshold, within=False)
     sim: Column = F.coalesce("best", F.lit(0.0))
-    return sets.select("doc_id", "node").join(best, "node", "left").select(
+    return text_keys(rows).join(best, "rep", "left").select(
         "doc_id", sim.alias("max_similarity"), (sim >= index.threshold).alias("is_duplicate"))
 
 
@@ -101,8 +101,11 @@ def publish(batch: DataFrame, index: CorpusIndex) -> int:
 
     Postings are written before sets, and a text counts as published once its set is there.
     """
+    keep = len(staged_folders())
     sets = _sets(batch, index).filter("n > 0").dropDuplicates(["node"])
     fresh = staged(sets.join(index.table("sets").select("node"), "node", "left_anti"), "fresh-sets")
     index._append(prefixes(fresh, index), "postings", "s")
-    index._append(fresh.select("node", "n", "sh"), "sets", "node")
-    return fresh.count()
+    index._append(stored_sets(fresh.withColumnRenamed("node", "rep"), index.threshold, last_in_order(index.table("order"))).withColumnRenamed("rep", "node"), "sets", "node")
+    added = fresh.count()
+    clear_staged(index.spark, keep)  # the index has them now
+    return added

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from castwise.operators import sets
 from castwise.operators import similarity as S
 from castwise.operators.sets import closest_document
+from castwise.session import staged_folders
 
 
 def _norm(t):
@@ -230,3 +231,41 @@ def test_meetings_are_counted_in_parts_and_blocks(spark, monkeypatch):
         near = {(i, j) for i, _, _ in docs for j, _, e in docs
                 if e and i != j and len(texts[i] & texts[j]) >= threshold * len(texts[i] | texts[j]) - 1e-12}
         assert near and near <= found and len(found) <= 3 * len(near), threshold
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.15])
+def test_a_corpus_in_pieces_gives_the_result_of_one(spark, monkeypatch, threshold):
+    """Sizes that one piece cannot hold are cut into shares; every row keeps its closest other text."""
+    monkeypatch.setattr(sets, "HELD", 400)
+    docs = _corpus(12)
+    got = {r["doc_id"]: r["max_similarity"] for r in closest_document(
+        spark.createDataFrame(docs, "doc_id long, text string, existing boolean"), threshold).collect()}
+    texts = {i: _shingles(t) for i, t, _ in docs}
+    assert len(got) == len(docs)
+    for i, _, _ in docs:
+        best = max((len(texts[i] & texts[j]) / len(texts[i] | texts[j]) for j, _, e in docs if e and j != i and texts[i] and texts[j]), default=0.0)
+        assert got[i] == pytest.approx(best if best >= threshold else 0.0), (i, best)
+
+
+def test_texts_that_are_all_alike_write_no_pairs(spark):
+    """Near copies of one text: no shingles of pairs are joined or shuffled, and every piece leaves one row for each text at most."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for i in range(300):
+        t = list(base)
+        t[rng.randrange(120)] = f"u{i}"
+        docs.append((i, " ".join(t), True))
+    before = len(staged_folders())
+    out = closest_document(spark.createDataFrame(docs, "doc_id long, text string, existing boolean"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "tokens" in x and "Relation" not in x], plan
+    assert out.filter("is_duplicate").count() == 300
+    assert sum(spark.read.parquet(x).count() for x in staged_folders()[before:]) == 600
+
+
+def test_pieces_hold_what_they_may():
+    sizes = [(3, 10), (5, 2), (400, 7), (401, 1), (402, 1)]
+    got = sets._pieces(sizes, 1000)
+    assert got == [(3, 5, 1), (400, 400, 3), (401, 402, 1)]
+    assert sets._pieces([], 10) == []

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from castwise import schemas
-from castwise.operators import corpus_index
+from castwise.operators import corpus_index, sets
 from castwise.plans import performance
+from castwise.session import staged_folders
 
 
 def _shingles(t):
@@ -126,3 +127,22 @@ def test_only_texts_that_share_enough_are_compared(spark, folder):
     assert corpus_index.candidates(corpus_index.prefixes(sets, index), index).count() == 1
     got = {x["doc_id"]: x["max_similarity"] for x in corpus_index.probe(_frame(spark, new), index).collect()}
     assert got[10] > 0.4 and sum(v > 0 for v in got.values()) == 1
+
+
+def test_a_batch_is_compared_in_pieces(spark, folder, monkeypatch):
+    """Pieces of a batch, equal texts among them, find the closest of all published ones; nothing of a published batch stays staged."""
+    monkeypatch.setattr(sets, "HELD", 150)
+    old, new = _texts(11, 60), _texts(12, 50)
+    new += [old[0], old[0], new[1]]
+    before = staged_folders()
+    index = corpus_index.create(_frame(spark, old), "pieces", f"{folder}/pieces", 0.3)
+    corpus_index.publish(_frame(spark, old), index)
+    assert staged_folders() == before
+    found = corpus_index.probe(_frame(spark, new), index)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in plan and "sh#" not in plan, plan
+    got = {r["doc_id"]: r["max_similarity"] for r in found.collect()}
+    every = [_shingles(t) for t in old]
+    for i, t in enumerate(new):
+        best = max((len(_shingles(t) & o) / len(_shingles(t) | o) for o in every if o and t), default=0.0)
+        assert got[i] == pytest.approx(best if best >= 0.3 else 0.0), t
